@@ -272,15 +272,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return table.join(named, "fp").select("doc_id", "fp", "component_id", "group_fp", "n_docs")
 
 
-def keep_one(docs: DataFrame, **search) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, **search) -> DataFrame:
     """One row of each near-duplicate group: that of the smallest doc_id. Columns as in ``docs``."""
-    found = near_duplicates(docs, **search)
+    found = near_duplicates(docs, shingle=shingle, **search)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "group_fp"
     )
     # rows that share id and group: one of their fingerprints stays
     keep = keep.groupBy("_id", "group_fp").agg(F.min("_fp").alias("_fp")).drop("group_fp")
-    out = with_fingerprint(docs, out="_own")
+    out = with_fingerprint(docs, out="_own", shingle=shingle)
     hit = out["doc_id"].eqNullSafe(keep["_id"]) & (out["_own"] == keep["_fp"])
     kept = out.join(keep, hit, "left_semi")
     return kept.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
