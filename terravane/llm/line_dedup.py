@@ -1,19 +1,19 @@
 r"""Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
-A line is a \n-split part of a text, trimmed. Lines of fewer than ``min_words`` words are left alone (one
-word of four is over a fifth of the line). A line is removed if an earlier line equals it or differs by
-one word inserted, deleted or substituted, so that a similarity of 0.8 or more is held at five words.
-Earlier: a smaller (doc_id, line number); a null doc_id comes last. Rows that share a doc_id and a line
-number with equal text count as one line.
-
-Join. Lines equal after trimming are collapsed to their first place by MD5. The neighbourhood of a line of
-n words is the line itself and its n variants with one word deleted; each is keyed by its length and two
-sums of position-wise word hashes, which a deletion only shifts. Two lines are within the bound exactly if
-they share the variant of the same deleted place, or one's variant is the other line. Per key the first
-place is kept, joined back, and the pair is verified word by word. One edit leaves the first or the last
-half of a line as it is, so lines that share neither half with another one can have no partner; they
-leave before variants are made, which loses nothing and keeps the join near the number of true candidates.
-All groups are joined on keys after map-side aggregation; no group is gathered.
+A line is a \n-split part of a text, trimmed; its words stand between single spaces. Lines of fewer than
+``min_words`` words are left alone (one word of four is over a fifth of the line). A line is removed if an
+earlier line equals it or differs by one word inserted, deleted or substituted, so that a similarity of 0.8
+or more is held at five words. Earlier: a smaller (doc_id, line number); a null doc_id comes last. Rows that
+share a doc_id and a line number with equal text count as one line.
+
+Join. Equal lines are collapsed to their first place by a 128-bit hash. The neighbourhood of a line of n
+words is the line itself and its n variants with one word deleted; each is keyed by its length and two sums
+of position-wise word hashes, which a deletion only shifts. Two lines are within the bound exactly if they
+share the variant of the same deleted place, or one's variant is the other line. Per key the first place is
+kept, joined back, and the pair is verified word by word. One edit leaves the first or the last half of a
+line as it is, so lines that share neither half with another one can have no partner; they leave before
+variants are made, which loses nothing and keeps the join near the number of true candidates. All groups
+are joined on keys after map-side aggregation; no group is gathered.
 
 Rows: null and empty texts have no lines and come out as they are. Other columns pass through.
 """
@@ -31,59 +31,71 @@ _BITS = (1 << 40) - 1
 
 
 def _tokens(line: Column) -> Column:
-    return F.split(line, r"[ \t\x0B\f\r]+")
+    return F.split(line, " ")
+
+
+def _trimmed(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\x0b\f\r"))
+
+
+def _key(line: Column) -> list[Column]:
+    """A line's 128-bit name."""
+    return [F.xxhash64(line).alias("l1"), F.xxhash64(F.lit(7), line).alias("l2")]
+
+
+KEY = ["l1", "l2"]
+
+
+def _place() -> Column:
+    """(doc_id, line number) as one number, so that the least can be kept by hash aggregation; no doc_id comes last."""
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("1" + "0" * 19).cast("decimal(20,0)"))
+    return (doc * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(32,0)")
 
 
 def text_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, line) of the lines that take part."""
+    """(doc_id, line_no, line, n) of the lines that take part; n counts the parts between single spaces."""
     at = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n"))
-    rows = docs.select("doc_id", at.alias("line_no", "line")).withColumn("line", F.trim("line", F.lit(" \t\x0b\f\r")))
-    return rows.filter(F.size(_tokens(F.col("line"))) >= min_words).filter(F.col("line") != "")
+    rows = docs.select("doc_id", at.alias("line_no", "line")).withColumn("line", _trimmed(F.col("line")))
+    rows = rows.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    return rows.filter(F.col("n") >= min_words)
 
 
 def _half_keys() -> Column:
-    """Keys of the halves of a line of n words that a partner of n - 1, n or n + 1 words would share."""
+    """Keys of the halves that a partner of n - 1, n or n + 1 words would share, for a line of n words."""
     keys = []
-    for name, cut in (("a", "n div 2"), ("b", "(n + 1) div 2"), ("c", "(n - 1) div 2")):
-        keys.append(F.expr(f"xxhash64('p', {cut}, slice(w, 1, {cut}))"))
-        keys.append(F.expr(f"xxhash64('s', {cut}, slice(w, n - ({cut}) + 1, {cut}))"))
+    for p, q in (("n div 2", "n - n div 2"), ("(n - 1) div 2", "n - 1 - (n - 1) div 2")):
+        keys.append(F.expr(f"xxhash64('p', substring_index(line, ' ', cast({p} as int)))"))
+        keys.append(F.expr(f"xxhash64('s', substring_index(line, ' ', cast(-({q}) as int)))"))
     return F.array_distinct(F.array(*keys))
 
 
+def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(l1, l2, first, near): distinct lines that occur again or have an earlier line within one edit.
 
-def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("line_no"))
-
-
-def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, first, near): distinct lines (MD5) that occur again or have an earlier line within one edit.
-
-    first is the first place of the line; near says that also this one goes.
+    first is the first place of the line; near says that also this one goes. The lines that share a half are
+    broadcast to the texts if they are at most ``broadcast_rows``, as counted; beyond that both sides shuffle.
     """
     lines = text_lines(docs, min_words)
-    keyed = lines.select(F.unhex(F.md5("line")).alias("key"), _place().alias("place"), _tokens(F.col("line")).alias("w"))
-    keyed = keyed.withColumn("n", F.size("w")).select("key", "place", _half_keys().alias("halves"))
-    seen = materialize(
-        keyed.groupBy("key").agg(
-            F.min("place").alias("first"), F.countDistinct("place").alias("times"), F.first("halves").alias("halves")
-        ),
-        "lines",
+    keyed = lines.select(*_key(F.col("line")), _place().alias("place"), _half_keys().alias("halves"))
+    keyed = keyed.select(*KEY, "place", *(F.get("halves", F.lit(k)).alias(f"half{k}") for k in range(4)))
+    seen = keyed.groupBy(*KEY).agg(
+        F.min("place").alias("first"), F.max("place").alias("last"), *(F.first(f"half{k}").alias(f"half{k}") for k in range(4))
     )
-    halves = seen.select("key", F.explode("halves").alias("half"))
+    seen = materialize(seen, "lines")
+    halves = seen.select(*KEY, F.explode(F.array_compact(F.array(*(f"half{k}" for k in range(4))))).alias("half"))
     common = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    able = halves.join(common, "half", "left_semi").select("key").distinct()
+    able = halves.join(common, "half", "left_semi").select(*KEY).distinct()
     # the first places of able lines, with their words
-    held = seen.join(able, "key", "left_semi").select("key", "first")
-    words = (
-        lines.select(F.unhex(F.md5("line")).alias("key"), _place().alias("first"), _tokens(F.col("line")).alias("w"))
-        .join(held, ["key", "first"], "left_semi")
-        .dropDuplicates(["key", "first"])
-    )
+    held = materialize(seen.select(*KEY, "first").join(able, KEY, "left_semi"), "able")
+    few = held.limit(broadcast_rows + 1).count() <= broadcast_rows
+    words = lines.select(*_key(F.col("line")), _place().alias("first"), "line")
+    words = words.join(F.broadcast(held) if few else held, [*KEY, "first"], "left_semi")
+    words = words.dropDuplicates([*KEY, "first"]).select(*KEY, "first", _tokens(F.col("line")).alias("w"))
     words = materialize(words, "words")
-    each = words.select("key", "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
+    each = words.select(*KEY, "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
     terms = [F.xxhash64(F.lit(s), "x", F.col("i") + d).bitwiseAND(_BITS) for s in (1, 2) for d in (0, -1)]
-    each = each.select("key", "first", "n", "i", *(t.alias(f"t{k}") for k, t in enumerate(terms)))
-    line = Window.partitionBy("key")
+    each = each.select(*KEY, "first", "n", "i", *(t.alias(f"t{k}") for k, t in enumerate(terms)))
+    line = Window.partitionBy(*KEY)
     before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     cut = [
@@ -91,13 +103,13 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for k in (0, 2)
     ]
     whole = [F.sum(f"t{k}").over(line) for k in (0, 2)]
-    each = each.select("key", "first", "n", "i", *(c.alias(f"c{k}") for k, c in enumerate(cut)), *(c.alias(f"h{k}") for k, c in enumerate(whole)))
+    each = each.select(*KEY, "first", "n", "i", *(c.alias(f"c{k}") for k, c in enumerate(cut)), *(c.alias(f"h{k}") for k, c in enumerate(whole)))
     # kind 0: the same place deleted; kind 1: the line itself or a variant that equals it
     gone = F.struct(F.lit(0).alias("kind"), F.col("n").alias("m"), F.col("i").alias("at"), F.col("c0").alias("a"), F.col("c1").alias("b"), F.lit(False).alias("whole"))
     less = F.struct(F.lit(1).alias("kind"), (F.col("n") - 1).alias("m"), F.lit(-1).alias("at"), F.col("c0").alias("a"), F.col("c1").alias("b"), F.lit(False).alias("whole"))
     self_ = F.struct(F.lit(1).alias("kind"), F.col("n").alias("m"), F.lit(-1).alias("at"), F.col("h0").alias("a"), F.col("h1").alias("b"), F.lit(True).alias("whole"))
     made = F.when(F.col("i") == 0, F.array(gone, less, self_)).otherwise(F.array(gone, less))
-    variants = each.select("key", "first", "i", F.explode(made).alias("v")).select("key", "first", "i", "v.*")
+    variants = each.select(*KEY, "first", "i", F.explode(made).alias("v")).select(*KEY, "first", "i", "v.*")
     by = ["kind", "m", "at", "a", "b"]
     heads = variants.groupBy(*by).agg(
         F.min(F.when(~F.col("whole") | (F.col("kind") == 0), F.col("first"))).alias("low_cut"),
@@ -107,25 +119,25 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ).filter("low <> high")
     met = variants.join(heads, by)
     earlier = F.when((F.col("kind") == 0) | F.col("whole"), F.col("low_cut")).otherwise(F.col("low_whole"))
-    pairs = met.withColumn("earlier", earlier).filter("earlier < first").select("key", "kind", "i", "whole", "earlier").distinct()
+    pairs = met.withColumn("earlier", earlier).filter("earlier < first").select(*KEY, "kind", "i", "whole", "earlier").distinct()
     other = words.select(F.col("first").alias("earlier"), F.col("w").alias("e"))
-    pairs = pairs.join(other, "earlier").join(words.select("key", "w"), "key")
+    pairs = pairs.join(other, "earlier").join(words.select(*KEY, "w"), KEY)
     same = F.expr(
         "CASE WHEN kind = 0 THEN size(w) = size(e) AND slice(w, 1, i) = slice(e, 1, i) AND slice(w, i + 2, size(w)) = slice(e, i + 2, size(e))"
         " WHEN whole THEN size(e) = size(w) + 1 AND exists(sequence(0, size(w)), j -> slice(e, 1, j) = slice(w, 1, j) AND slice(e, j + 2, size(e)) = slice(w, j + 1, size(w)))"
         " ELSE size(w) = size(e) + 1 AND slice(w, 1, i) = slice(e, 1, i) AND slice(w, i + 2, size(w)) = slice(e, i + 1, size(e)) END"
     )
-    near = pairs.filter(same).select("key", F.lit(True).alias("near")).distinct()
-    out = seen.join(near, "key", "left").filter("times > 1 OR near")
-    return out.select("key", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    near = pairs.filter(same).select(*KEY, F.lit(True).alias("near")).distinct()
+    out = seen.select(*KEY, "first", "last").join(near, KEY, "left").filter("first <> last OR near")
+    return out.select(*KEY, "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, key): every line place that goes."""
+    """(doc_id, line_no, l1, l2): every line place that goes."""
     dups = duplicate_lines(docs, min_words)
-    lines = text_lines(docs, min_words).select("doc_id", "line_no", F.unhex(F.md5("line")).alias("key"), _place().alias("place"))
-    gone = lines.join(dups, "key").filter(F.col("near") | (F.col("place") != F.col("first")))
-    return gone.select("doc_id", "line_no", "key")
+    lines = text_lines(docs, min_words).select("doc_id", "line_no", *_key(F.col("line")), _place().alias("place"))
+    gone = lines.join(dups, KEY).filter(F.col("near") | (F.col("place") != F.col("first")))
+    return gone.select("doc_id", "line_no", *KEY)
 
 
 def _with_cuts(docs: DataFrame, min_words: int) -> DataFrame:
@@ -133,7 +145,7 @@ def _with_cuts(docs: DataFrame, min_words: int) -> DataFrame:
     cuts = (
         removed_lines(docs, min_words)
         .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("line_no", "key")).alias("_cut"))
+        .agg(F.collect_set(F.struct("line_no", *KEY)).alias("_cut"))
         .withColumnRenamed("doc_id", "_id")
     )
     return docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_id"]), "left").drop("_id")
@@ -146,10 +158,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = Fals
     """
     rows = _with_cuts(docs, min_words)
     split = F.split("text", "\n")
-    trimmed = lambda x: F.trim(x, F.lit(" \t\x0b\f\r"))
     marked = F.transform(
         split,
-        lambda x, k: F.struct(x.alias("x"), F.array_contains("_cut", F.struct(k.alias("line_no"), F.unhex(F.md5(trimmed(x))).alias("key"))).alias("gone")),
+        lambda x, k: F.struct(x.alias("x"), F.array_contains("_cut", F.struct(k.alias("line_no"), *_key(_trimmed(x)))).alias("gone")),
     )
     rows = rows.withColumn("_lines", F.when(F.col("_cut").isNotNull(), marked))
     left = F.filter("_lines", lambda s: ~s["gone"])
