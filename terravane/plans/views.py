@@ -45,7 +45,7 @@ VIEWS = {
       s.annual_pvout_kwh_per_kwp, t.mean_temp_c, c.cell_id % 6 = 0 AS is_excluded FROM cells c LEFT JOIN solar s ON s.cell_id = c.cell_id LEFT JOIN climate t ON t.cell_id = c.cell_id""",
     "scores": f"SELECT cell_id, state_code, lon, lat, is_excluded, CAST(cell_id % 2 AS INT) AS run_id, {_mod('cell_id', 7907, 1001, 1000)} AS score FROM features",
     "pixels": f"""SELECT o_custkey AS cell_id, CAST(l_quantity AS INT) % 10 * 10 AS code, l_extendedprice / 997 AS value, l_discount * 1000 - 10 AS occurrence, l_tax * 10 AS seasonality,
-      290 + l_quantity / 5 AS temp_k, 285 + l_quantity / 10 AS dew_k, l_extendedprice * 1000 AS monthly_j_m2, l_discount * 20 AS pga FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+      290 + l_quantity / 5 AS temp_k, 285 + l_quantity / 10 AS dew_k, l_extendedprice * 1003.7 AS monthly_j_m2, l_discount * 20 AS pga FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "runs": "SELECT event_id AS run_id, event_type AS source, CASE event_id % 3 WHEN 0 THEN 'failed' ELSE 'success' END AS status, ts AS finished_at, user_id AS row_count FROM events",
     "letters": "SELECT event_id - event_id % 7 AS run_id, event_type AS source, props AS payload FROM events WHERE event_id % 7 < 3",
     "connects": "SELECT DISTINCT l_partkey - l_partkey % 10 AS line_id, l_suppkey AS sub_id FROM lineitem WHERE l_orderkey % 40 = 0 AND l_partkey >= 10",
