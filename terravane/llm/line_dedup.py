@@ -92,7 +92,8 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows:
     words = words.join(F.broadcast(held) if few else held, [*KEY, "first"], "left_semi")
     words = words.dropDuplicates([*KEY, "first"]).select(*KEY, "first", _tokens(F.col("line")).alias("w"))
     words = materialize(words, "words")
-    each = words.select(*KEY, "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
+    # dealt by line before the words are exploded, so that the sums below need no further shuffle
+    each = words.repartition(*KEY).select(*KEY, "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
     terms = [F.xxhash64(F.lit(s), "x", F.col("i") + d).bitwiseAND(_BITS) for s in (1, 2) for d in (0, -1)]
     each = each.select(*KEY, "first", "n", "i", *(t.alias(f"t{k}") for k, t in enumerate(terms)))
     line = Window.partitionBy(*KEY)
@@ -105,23 +106,29 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows:
     whole = [F.sum(f"t{k}").over(line) for k in (0, 2)]
     each = each.select(*KEY, "first", "n", "i", *(c.alias(f"c{k}") for k, c in enumerate(cut)), *(c.alias(f"h{k}") for k, c in enumerate(whole)))
     # kind 0: the same place deleted; kind 1: the line itself or a variant that equals it
-    gone = F.struct(F.lit(0).alias("kind"), F.col("n").alias("m"), F.col("i").alias("at"), F.col("c0").alias("a"), F.col("c1").alias("b"), F.lit(False).alias("whole"))
-    less = F.struct(F.lit(1).alias("kind"), (F.col("n") - 1).alias("m"), F.lit(-1).alias("at"), F.col("c0").alias("a"), F.col("c1").alias("b"), F.lit(False).alias("whole"))
-    self_ = F.struct(F.lit(1).alias("kind"), F.col("n").alias("m"), F.lit(-1).alias("at"), F.col("h0").alias("a"), F.col("h1").alias("b"), F.lit(True).alias("whole"))
+    def variant(kind, m, at, sums, whole):
+        name = [F.xxhash64(F.lit(kind), m, at, F.col(c)) for c in sums]
+        return F.struct(name[0].alias("k1"), name[1].alias("k2"), F.lit(kind).alias("kind"), F.lit(whole).alias("whole"))
+
+    n, no = F.col("n"), F.lit(-1)
+    gone, less, self_ = variant(0, n, F.col("i"), ("c0", "c1"), False), variant(1, n - 1, no, ("c0", "c1"), False), variant(1, n, no, ("h0", "h1"), True)
     made = F.when(F.col("i") == 0, F.array(gone, less, self_)).otherwise(F.array(gone, less))
-    variants = each.select(*KEY, "first", "i", F.explode(made).alias("v")).select(*KEY, "first", "i", "v.*")
-    by = ["kind", "m", "at", "a", "b"]
-    heads = variants.groupBy(*by).agg(
-        F.min(F.when(~F.col("whole") | (F.col("kind") == 0), F.col("first"))).alias("low_cut"),
+    variants = each.select("first", "i", F.explode(made).alias("v")).select("first", "i", "v.*")
+    # only names found twice are of use; they are counted by 64 bits first, to shuffle little
+    twice = materialize(variants.groupBy("k1").agg(F.count("*").alias("c")).filter("c > 1").select("k1"), "twice")
+    few = twice.limit(broadcast_rows + 1).count() <= broadcast_rows
+    variants = materialize(variants.join(F.broadcast(twice) if few else twice, "k1", "left_semi"), "variants")
+    heads = variants.groupBy("k1", "k2").agg(
+        F.min(F.when(~F.col("whole"), F.col("first"))).alias("low_cut"),
         F.min(F.when(F.col("whole"), F.col("first"))).alias("low_whole"),
         F.min("first").alias("low"),
         F.max("first").alias("high"),
     ).filter("low <> high")
-    met = variants.join(heads, by)
+    met = variants.join(heads, ["k1", "k2"])
     earlier = F.when((F.col("kind") == 0) | F.col("whole"), F.col("low_cut")).otherwise(F.col("low_whole"))
-    pairs = met.withColumn("earlier", earlier).filter("earlier < first").select(*KEY, "kind", "i", "whole", "earlier").distinct()
+    pairs = met.withColumn("earlier", earlier).filter("earlier < first").select("first", "kind", "i", "whole", "earlier").distinct()
     other = words.select(F.col("first").alias("earlier"), F.col("w").alias("e"))
-    pairs = pairs.join(other, "earlier").join(words.select(*KEY, "w"), KEY)
+    pairs = pairs.join(other, "earlier").join(words.select(*KEY, "first", "w"), "first")
     same = F.expr(
         "CASE WHEN kind = 0 THEN size(w) = size(e) AND slice(w, 1, i) = slice(e, 1, i) AND slice(w, i + 2, size(w)) = slice(e, i + 2, size(e))"
         " WHEN whole THEN size(e) = size(w) + 1 AND exists(sequence(0, size(w)), j -> slice(e, 1, j) = slice(w, 1, j) AND slice(e, j + 2, size(e)) = slice(w, j + 1, size(w)))"
@@ -140,15 +147,12 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.select("doc_id", "line_no", *KEY)
 
 
-def _with_cuts(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` with _cut, the map from the numbers of its removed lines to their keys."""
-    cuts = (
-        removed_lines(docs, min_words)
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("line_no", *KEY)).alias("_cut"))
-        .withColumnRenamed("doc_id", "_id")
-    )
-    return docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_id"]), "left").drop("_id")
+def _with_cuts(docs: DataFrame, min_words: int, broadcast_lines: int = 1_500_000) -> DataFrame:
+    """``docs`` with _cut, the removed lines as (line_no, l1, l2); broadcast if they are at most broadcast_lines, as counted."""
+    gone = materialize(removed_lines(docs, min_words), "gone")
+    few = gone.limit(broadcast_lines + 1).count() <= broadcast_lines
+    cuts = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", *KEY)).alias("_cut")).withColumnRenamed("doc_id", "_id")
+    return docs.join(F.broadcast(cuts) if few else cuts, docs["doc_id"].eqNullSafe(cuts["_id"]), "left").drop("_id")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
