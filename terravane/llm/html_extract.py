@@ -135,13 +135,15 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in _VOID or tag.endswith("/>"):
             continue
-        if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "dt", "dd", "option"):
+        if stack[-1].name == "p":  # a block tag closes an open paragraph
+            stack.pop()
+        if name in ("li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "dt", "dd", "option"):
             # an open one of the same kind ends here, unless a list or table stands between
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name or (stack[k].name == "p" and name != "p"):
+                if stack[k].name == name:
                     del stack[k:]
                     break
-                if stack[k].name in ("ul", "ol", "table", "div", "section", "article", "blockquote"):
+                if stack[k].name in ("ul", "ol", "table", "div", "section", "blockquote", *_HELD):
                     break
         top = stack[-1]
         f, box = top.features, 0
@@ -175,6 +177,8 @@ TRAINING = [
     f"<article><h1>+x</h1><p>+ok</p><p>+{_MID}</p><td>+cell</td><pre>+code line</pre></article><div class='newsletter'><p>-subscribe now. {_LONG}</p></div><footer>-&copy; me &middot; {_LONG}</footer>",
     f"<div><p>+{_LONG}</p><p>+{_MID}</p><p>+{_LONG}</p></div><div class='share'><a href=x>-share</a></div><div class='footer'><p>-{_MID}</p></div>",
     f"<article><h1>+A</h1><p>+{_MID}</p><aside><p>-{_LONG}</p></aside><nav><a href=x>-next page</a></nav><div class='promo'>-{_LONG}</div><footer><p>-posted by someone</p></footer></article>",
+    f"<article><p>+{_MID}</p><form><p>-your name</p><p>-{_LONG}</p></form><p>+{_MID}</p><div class='cookie-banner'><p>-accept all</p></div><p>+short one</p><nav><p>-{_MID}</p></nav><div class='reply'><p>-{_MID}</p><p>-me too</p></div><p>+{_MID}</p></article>",
+    f"<main><p>+{_MID}</p><aside><p>-also read</p></aside><footer><p>-tags and more</p></footer><p>+{_LONG}</p><header><p>+by a writer</p></header><div class='widget'><p>-{_MID}</p></div></main>",
     f"<main><p>+{_LONG}</p><p>+two words</p><div class='alert'><p>-{_LONG}</p></div></main><dialog><p>-{_MID}</p></dialog><menu><li>-{_MID}</li></menu>",
 ]
 
@@ -186,7 +190,7 @@ def model() -> tuple[list[float], float]:
         for b in blocks(page):
             rows.append(b.features)
             labels.append(int(b.text[0] == "+"))
-    weights, bias = logistic.fit(rows, labels, len(FEATURES), l2=0.05, rounds=2000, rate=0.3)
+    weights, bias = logistic.fit(rows, labels, len(FEATURES), l2=0.02, rounds=3000, rate=0.3)
     return weights.tolist(), bias
 
 
@@ -238,7 +242,7 @@ def min_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     return seen
 
 
-def labels(page: list[Block], near: int = 40, same_box: int = 40) -> list[bool]:
+def labels(page: list[Block], near: int = 30, same_box: int = 30) -> list[bool]:
     """Whether each block is content. Capacities are hundredths of log-odds."""
     weights, bias = model()
     gain = [int(100 * max(-9.0, min(9.0, bias + sum(weights[f] for f in b.features)))) or -1 for b in page]
