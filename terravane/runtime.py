@@ -51,7 +51,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of the session, once; they may start without it on their path."""
+    """Make the session ready for Arrow functions: workers get this package, as they may start without it on their path.
+
+    Batches of the default 10,000 rows of text would take much memory; they are cut to 1,000 unless set otherwise.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if getattr(context, "_terravane_shipped", False):
         return
