@@ -192,7 +192,7 @@ def _names(text):
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
 
 
-def duplicate_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = None, shard_bytes: int = 4 << 20) -> DataFrame:
+def duplicate_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = None, shard_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_sha256) of every row; spans are flat (from, to) byte offsets."""
     spark = docs.sparkSession
     ship(spark)
