@@ -7,8 +7,9 @@ equal windows have equal anchors at equal offsets. Consecutive windows share the
 becomes about one segment per length / 2 bytes: the bytes of all windows of one anchor. Equal segments are
 counted by a 128-bit hash; where a segment repeats, all its windows do. Where one anchor has several
 different segments, one copy of each goes to the anchor's shard, and there the suffixes are sorted up to
-``length`` bytes by prefix doubling; neighbours that agree mark the repeated windows. Nothing is sampled:
-the anchors only say which windows must meet.
+``length`` bytes by prefix doubling; neighbours that agree mark the repeated windows. An anchor so common that its
+segments exceed a shard is searched one window offset at a time instead. Nothing is sampled: the anchors only
+say which windows must meet.
 
 Texts are collapsed by a 128-bit hash and kept in a table bucketed by it, so later joins move ranges, not
 texts. Groups are aggregated on the map side before each shuffle.
@@ -93,6 +94,28 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
     return [hit[a:b] - s for a, b, s in zip(cut[:-1], cut[1:], bounds[:-1])]
 
 
+def repeated_windows_of_anchor(segments: list[bytes], heads: list[int], length: int = LENGTH) -> list[np.ndarray]:
+    """As repeated_windows, for segments of one anchor at the places ``heads``, one window offset after the other.
+
+    Equal windows hold the anchor at the same offset, so an offset's windows only need each other; memory is
+    that of the segments and one digest for each of them.
+    """
+    found: list[list[int]] = [[] for _ in segments]
+    views, sizes = list(map(memoryview, segments)), [len(s) - length for s in segments]
+    for ahead in range(max(heads) + 1):
+        names: dict[bytes, int] = {}
+        for k, (v, head, last) in enumerate(zip(views, heads, sizes)):
+            at = head - ahead
+            if 0 <= at <= last:
+                first = names.setdefault(hashlib.md5(v[at : at + length], usedforsecurity=False).digest(), k)
+                if first != k:
+                    found[k].append(at)
+                    at = heads[first] - ahead
+                    if not found[first] or found[first][-1] != at:
+                        found[first].append(at)
+    return [np.array(sorted(f), np.int64) for f in found]
+
+
 def _runs(starts: np.ndarray) -> list[int]:
     """Alternating first and last of the runs of consecutive numbers."""
     if not len(starts):
@@ -133,26 +156,39 @@ def _shard(length: int, shard_bytes: int):
     schema = pa.schema([("h", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
     def flush(held):
-        found = repeated_windows([x[3] for x in held], length)
+        segments = [x[3] for x in held]
+        if held[0][0] == held[-1][0] and sum(map(len, segments)) > 2 * shard_bytes:
+            # one very common anchor; its place is that of the least hash in the first window
+            found = repeated_windows_of_anchor(segments, [int(anchors(np.frombuffer(x, np.uint8), length)[2][0]) for x in segments], length)
+        else:
+            found = repeated_windows(segments, length)
         runs = [_runs(f) for f in found]
         return pa.RecordBatch.from_arrays(
             [pa.array([x[k] for x in held], pa.int64()) for k in range(3)] + [pa.array(runs, pa.list_(pa.int32()))], schema=schema
         )
 
     def run(batches):
-        held, size, last = [], 0, None
+        held, start, last = [], 0, None  # rows waiting, and where the last anchor's begin
+
+        def settle(done):
+            nonlocal held
+            own = sum(len(x[3]) for x in held[start:])
+            if own > 2 * shard_bytes and start:  # an anchor that fills a shard is searched alone
+                yield flush(held[:start])
+                held = held[start:]
+            if held and (done or own > 2 * shard_bytes or sum(len(x[3]) for x in held) >= shard_bytes):
+                yield flush(held)
+                held = []
+
         for b in batches:
             for row in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if row[0] != last and size >= shard_bytes:
-                    yield flush(held)
-                    held, size = [], 0
-                if held and row[:3] == held[-1][:3]:
+                if row[0] != last:
+                    yield from settle(False)
+                    start, last = len(held), row[0]
+                elif held and row[:3] == held[-1][:3]:
                     continue
                 held.append(row)
-                size += len(row[3])
-                last = row[0]
-        if held:
-            yield flush(held)
+        yield from settle(True)
 
     return run
 

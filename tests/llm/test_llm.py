@@ -187,6 +187,21 @@ def test_suffix_dedup(spark, shard_bytes):
     assert got == want
 
 
+def test_common_anchor_agrees_with_sorting():
+    rnd = random.Random(11)
+    core = bytes(rnd.randrange(97, 123) for _ in range(60))
+    texts = [bytes(rnd.randrange(97, 100) for _ in range(rnd.randrange(30, 60))) + core + bytes(rnd.randrange(97, 100) for _ in range(rnd.randrange(30, 60))) for _ in range(40)]
+    groups = {}
+    for t in texts:
+        for lo, hi, place, h in zip(*suffix_dedup.anchors(np.frombuffer(t, np.uint8), 40)):
+            groups.setdefault(h, set()).add((t[lo : hi + 40], place - lo))
+    assert max(map(len, groups.values())) > 5
+    for g in groups.values():
+        segments, heads = map(list, zip(*sorted(g)))
+        a, b = suffix_dedup.repeated_windows(segments, 40), suffix_dedup.repeated_windows_of_anchor(segments, heads, 40)
+        assert [x.tolist() for x in a] == [x.tolist() for x in b]
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.duplicate_spans(edge(spark, []), buckets=2).count() == 0
 
