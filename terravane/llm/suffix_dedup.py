@@ -11,6 +11,10 @@ different segments, one copy of each goes to the anchor's shard, and there the s
 segments exceed a shard is searched one window offset at a time instead. Nothing is sampled: the anchors only
 say which windows must meet.
 
+Sides. A window has at least half of its bytes beside the anchor on one side, so segments that share a window have
+equal bytes on that side, too. A segment whose left and right sides are both its own shares no window with another
+and does not go to a shard. Sides are compared by hash; equal hashes only let more through.
+
 Texts are collapsed by a 128-bit hash and kept in a table bucketed by it, so later joins move ranges, not
 texts. Groups are aggregated on the map side before each shuffle.
 
@@ -125,16 +129,27 @@ def _runs(starts: np.ndarray) -> list[int]:
     return np.stack([firsts, lasts], 1).ravel().tolist()
 
 
-_SEGMENT = "t1 long, t2 long, lo int, hi int, h long, g1 long, g2 long"
+_SEGMENT = "t1 long, t2 long, lo int, hi int, h long, g1 long, g2 long, left long, right long"
+
+
+def sides(text: memoryview, first: list[int], last: list[int], place: list[int], length: int = LENGTH, gram: int = GRAM) -> tuple[list, list]:
+    """Hashes of the bytes left and right of each segment's anchor, the anchor included; null where no window reaches so far."""
+    half = (length - gram) // 2
+    left, right = [], []
+    for a, z, p in zip(first, last, place):
+        for found, x, y in ((left, p - half, p + gram), (right, p, p + gram + half)):
+            inside = a <= x and y <= z + length
+            found.append(int.from_bytes(hashlib.md5(text[x:y], usedforsecurity=False).digest()[:8], "little", signed=True) if inside else None)
+    return left, right
 
 
 def _segments(length: int):
     def run(batches):
         for b in batches:
             t1, t2 = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out = [[] for _ in range(7)]
+            out, beside = [[] for _ in range(7)], ([], [])
             for x, y, text in zip(t1, t2, b.column(2).cast(pa.large_binary()).to_pylist()):
-                first, last, _, h = anchors(np.frombuffer(text, np.uint8), length)
+                first, last, place, h = anchors(np.frombuffer(text, np.uint8), length)
                 if not len(first):
                     continue
                 view = memoryview(text)
@@ -144,9 +159,12 @@ def _segments(length: int):
                 g = np.frombuffer(names, np.int64).reshape(-1, 2)
                 for k, v in enumerate((np.full(len(h), x), np.full(len(h), y), first.astype(np.int32), last.astype(np.int32), h, g[:, 0], g[:, 1])):
                     out[k].append(v)
+                for found, v in zip(beside, sides(view, first.tolist(), last.tolist(), place.tolist(), length)):
+                    found.extend(v)
             if out[0]:
-                names = ["t1", "t2", "lo", "hi", "h", "g1", "g2"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(np.concatenate(v))) for v in out], names)
+                names = ["t1", "t2", "lo", "hi", "h", "g1", "g2", "left", "right"]
+                columns = [pa.array(np.ascontiguousarray(np.concatenate(v))) for v in out]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, pa.int64()) for v in beside)], names)
 
     return run
 
@@ -243,23 +261,28 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None =
 
     segments = materialize(texts.select("t1", "t2", "text").mapInArrow(_segments(length), _SEGMENT), "segments")
     kinds = materialize(
-        segments.groupBy("h", "g1", "g2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("t1", "t2", "lo", "hi"))), "kinds"
+        segments.groupBy("h", "g1", "g2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("t1", "t2", "lo", "hi", "left", "right"))), "kinds"
     )
-    several = kinds.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    wanted = kinds.join(several, "h", "left_semi").select("t1", "t2", "lo", "hi", "h", "g1", "g2")
-    wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi", "h", "g1", "g2")).alias("want"))
+    # each segment under both its sides; hashes of the two kinds of side may meet, which lets more through
+    beside = [kinds.filter(F.col(c).isNotNull()).select(F.col(c).alias("side"), "t1", "t2", "lo", "hi", "h") for c in ("left", "right")]
+    beside = beside[0].unionByName(beside[1])
+    several = beside.groupBy("side").agg(F.count("*").alias("c")).filter("c > 1").select("side")
+    wanted = beside.join(several, "side", "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi", "h")).alias("want"))
 
     def content(batches):
+        schema = pa.schema([("h", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("bytes", pa.binary())])
         for b in batches:
             out = [[] for _ in range(4)]
             for raw, want in zip(b.column(0).cast(pa.large_binary()).to_pylist(), b.column(1).to_pylist()):
                 for x in want:
-                    for k, v in enumerate((x["h"], x["g1"], x["g2"], raw[x["lo"] : x["hi"] + length])):
+                    segment = raw[x["lo"] : x["hi"] + length]
+                    g = np.frombuffer(hashlib.md5(segment, usedforsecurity=False).digest(), np.int64)
+                    for k, v in enumerate((x["h"], g[0], g[1], segment)):
                         out[k].append(v)
                     if len(out[0]) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, [pa.int64()] * 3 + [pa.binary()])], ["h", "g1", "g2", "bytes"])
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, schema.types)], schema=schema)
                         out = [[] for _ in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, [pa.int64()] * 3 + [pa.binary()])], ["h", "g1", "g2", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, schema.types)], schema=schema)
 
     bytes_ = texts.join(wanted, ["t1", "t2"]).select("text", "want").mapInArrow(content, "h long, g1 long, g2 long, bytes binary")
     sorted_ = bytes_.repartition("h").sortWithinPartitions("h", "g1", "g2")
