@@ -30,7 +30,7 @@ class _Tables:
 
         if name in VIEWS:
             return view(self.spark, self.dir, name)
-        register(self.spark, self.dir)
+        register(self.spark, self.dir, [name])
         return self.spark.table(name)
 
 

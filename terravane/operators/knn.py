@@ -1,8 +1,9 @@
 """Nearest-neighbour joins J05-J07, J11 and the epsilon join J12.
 
-Targets whose measured size is under ``broadcast_rows`` are broadcast and reduced with ``min_by`` on the map
-side. Beyond that both sides are binned on a lon/lat lattice and joined on bins: a cell looks at growing
-square rings of bins until its best distance is within what the ring guarantees.
+Targets whose counted rows are under ``broadcast_rows`` are broadcast to the bins of a lon/lat lattice, not to the
+cells: a bin keeps the targets that can be nearest to a point in it, which are those no farther from its centre than
+the nearest one plus its diagonal, and cells meet them by bin. Beyond that both sides are binned and joined on bins:
+a cell looks at growing square rings of bins until its best distance is within what the ring guarantees.
 """
 
 from __future__ import annotations
@@ -48,20 +49,37 @@ def _best(pairs: DataFrame, points: bool, by: list[str]) -> DataFrame:
 
 
 def nearest(cells: DataFrame, targets: DataFrame, broadcast_rows: int = BROADCAST_ROWS, bin_deg: float = 0.5, groups: bool = False) -> DataFrame:
-    """(cell_id[, grp], best{deg, km, target_id}): the nearest target of each cell, or of each cell and group.
+    """(cell_id[, grp], best{deg, km, target_id}): the nearest target of each cell; with ``groups`` a row for each group
+    of the cell's candidates, the nearest group and the next one (if there is one) always among them.
 
     Cells are (cell_id, lon, lat). Order is by planar degrees, then km, then id; no row for an empty target table.
     """
     cells = cells.select("cell_id", "lon", "lat")
     targets, points = _targets(targets)
-    by = ["cell_id", "grp"] if groups else ["cell_id"]
-    if groups or targets.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        # a cell's groups are few and every group counts, so rings cannot stop early
-        small = targets.limit(broadcast_rows + 1).count() <= broadcast_rows
-        if small:
-            return _best(cells.join(F.broadcast(targets)), points, by)
-        return _grouped_rings(cells, targets, points, bin_deg)
-    return _rings(cells, targets, points, bin_deg)
+    if targets.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        binned = cells.withColumns({"bx": _bin(F.col("lon"), bin_deg), "by": _bin(F.col("lat"), bin_deg)})
+        pairs = binned.join(_candidates(binned, targets, bin_deg, groups), ["bx", "by"])
+        return _best(pairs, points, ["cell_id", "grp"] if groups else ["cell_id"])
+    return (_grouped_rings if groups else _rings)(cells, targets, points, bin_deg)
+
+
+def _candidates(cells: DataFrame, targets: DataFrame, size: float, groups: bool) -> DataFrame:
+    """(bx, by, target...): for each bin that holds cells, the targets that can be first (or first of the second group).
+
+    A point lies within half a diagonal of its bin's centre, so distances from it and from the centre differ by at most that.
+    """
+    keys = ["bx", "by"]
+    # a fixed number of partitions: the bins are few bytes but much work each
+    bins = cells.select(*keys).distinct().repartition(cells.sparkSession.sparkContext.defaultParallelism, *keys)
+    centre = [(F.col(k) + 0.5) * size for k in keys]
+    away = bins.join(F.broadcast(targets)).withColumn("away", geo.segment_distance(*centre, *(F.col(c) for c in ("x1", "y1", "x2", "y2")))[0])
+    if groups:
+        first = away.groupBy(*keys, "grp").agg(F.min("away").alias("away"))
+        reach = first.groupBy(*keys).agg(F.array_sort(F.collect_list("away")).alias("by_group")).select(*keys, F.coalesce(F.get("by_group", F.lit(1)), F.get("by_group", F.lit(0))).alias("reach"))
+    else:
+        reach = away.groupBy(*keys).agg(F.min("away").alias("reach"))
+    slack = size * 2**0.5 * (1 + 1e-6) + 1e-9
+    return away.join(reach, keys).filter(F.col("away") <= F.col("reach") + slack).drop("away", "reach")
 
 
 def _ring(cells: DataFrame, binned: DataFrame, r: int, size: float) -> DataFrame:

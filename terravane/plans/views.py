@@ -5,6 +5,8 @@ Coordinates are spread over the box lon 68..97.5, lat 6.5..37.5 by multiples of
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"]
@@ -57,8 +59,6 @@ _ORDER = list(VIEWS)
 
 
 def _needed(text: str, found: set[str]) -> None:
-    import re
-
     for name in set(re.findall(r"[a-z_]+", text)) & set(VIEWS):
         if name not in found and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", text):
             found.add(name)
@@ -79,11 +79,17 @@ def with_views(sql: str) -> str:
     return f"WITH {', '.join(own)} {head}" if own else head
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    for t in BASE:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+def register(spark: SparkSession, sf_dir: str, names: list[str] = BASE) -> None:
+    """Temporary views of the base tables; a table's footer is read once per session and folder."""
+    known = spark.__dict__.setdefault("_terravane_tables", {})
+    for t in names:
+        path = f"{sf_dir}/{t}.parquet"
+        if path not in known:
+            known[path] = spark.read.parquet(path)
+        known[path].createOrReplaceTempView(t)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register(spark, sf_dir)
-    return spark.sql(with_views(f"SELECT * FROM {name}"))
+    text = with_views(f"SELECT * FROM {name}")
+    register(spark, sf_dir, [t for t in BASE if re.search(rf"\b{t}\b", text)])
+    return spark.sql(text)
