@@ -72,14 +72,15 @@ def _candidates(cells: DataFrame, targets: DataFrame, size: float, groups: bool)
     # a fixed number of partitions: the bins are few bytes but much work each
     bins = cells.select(*keys).distinct().repartition(cells.sparkSession.sparkContext.defaultParallelism, *keys)
     centre = [(F.col(k) + 0.5) * size for k in keys]
-    away = bins.join(F.broadcast(targets)).withColumn("away", geo.segment_distance(*centre, *(F.col(c) for c in ("x1", "y1", "x2", "y2")))[0])
+    distance = geo.segment_distance(*centre, *(F.col(c) for c in ("x1", "y1", "x2", "y2")))[0]
+    away = bins.join(F.broadcast(targets)).withColumn("away", distance)
     if groups:
         first = away.groupBy(*keys, "grp").agg(F.min("away").alias("away"))
         reach = first.groupBy(*keys).agg(F.array_sort(F.collect_list("away")).alias("by_group")).select(*keys, F.coalesce(F.get("by_group", F.lit(1)), F.get("by_group", F.lit(0))).alias("reach"))
     else:
         reach = away.groupBy(*keys).agg(F.min("away").alias("reach"))
     slack = size * 2**0.5 * (1 + 1e-6) + 1e-9
-    return away.join(reach, keys).filter(F.col("away") <= F.col("reach") + slack).drop("away", "reach")
+    return reach.join(F.broadcast(targets), distance <= F.col("reach") + slack).drop("reach")
 
 
 def _ring(cells: DataFrame, binned: DataFrame, r: int, size: float) -> DataFrame:
