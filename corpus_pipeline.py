@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from terravane.llm import bpe, decontaminate, line_dedup, near_sets, toxicity
 from terravane.llm.queries import VOCABULARY, table
 from terravane.runtime import materialize
 
@@ -25,8 +25,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; five-word shingles."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each group linked by a Jaccard similarity of 0.8 or more stays; five-word shingles."""
+    return near_sets.keep_one(docs, shingle=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity_stage),
     ("line dedup", line_stage),
-    ("simhash near-dedup", near_duplicate_stage),
+    ("near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
     ("byte-level bpe", bpe_stage),
 ]
