@@ -18,7 +18,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document goes if they were all it had. n_chars follows the text."""
-    rows = line_dedup.dedup_lines(docs, report=True)
+    rows = line_dedup.dedup_lines(docs, report=True, short=True)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return rows.filter(left).select(*(n_chars if c == "n_chars" else c for c in docs.columns))

@@ -1,9 +1,9 @@
 r"""Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
-A line is a \n-split part of a text, trimmed; its words stand between single spaces. Lines of fewer than
-``min_words`` words are left alone (one word of four is over a fifth of the line). A line is removed if an
-earlier line equals it or differs by one word inserted, deleted or substituted, so that a similarity of 0.8
-or more is held at five words. Earlier: a smaller (doc_id, line number); a null doc_id comes last. Rows that
+A line is a \n-split part of a text, trimmed; its words stand between single spaces. A line of ``min_words`` words
+or more is removed if an earlier line equals it or differs by one word inserted, deleted or substituted, so that a similarity of 0.8
+or more is held at five words. A non-empty line of fewer words (one word of four is over a fifth of the line) is
+removed if an earlier line equals it, if ``short`` is set; without it such lines are left alone. Earlier: a smaller (doc_id, line number); a null doc_id comes last. Rows that
 share a doc_id and a line number with equal text count as one line.
 
 Join. Equal lines are collapsed to their first place by a 128-bit hash. The neighbourhood of a line of n
@@ -60,6 +60,14 @@ def text_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rows.filter(F.col("n") >= min_words)
 
 
+def short_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, line_no, l1, l2): places of non-empty lines under ``min_words`` words that an earlier line equals."""
+    lines = text_lines(docs, 1).filter((F.col("n") < min_words) & (F.col("line") != ""))
+    lines = lines.select("doc_id", "line_no", *_key(F.col("line")), _place().alias("place"))
+    seen = lines.groupBy(*KEY).agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last")
+    return lines.join(seen, KEY).filter("place <> first").select("doc_id", "line_no", *KEY)
+
+
 def _half_keys() -> Column:
     """Keys of the halves that a partner of n - 1, n or n + 1 words would share, for a line of n words."""
     keys = []
@@ -139,28 +147,29 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows:
     return out.select(*KEY, "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, l1, l2): every line place that goes."""
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, l1, l2): every line place that goes; with ``short`` also exact repeats of shorter lines."""
     dups = duplicate_lines(docs, min_words)
     lines = text_lines(docs, min_words).select("doc_id", "line_no", *_key(F.col("line")), _place().alias("place"))
     gone = lines.join(dups, KEY).filter(F.col("near") | (F.col("place") != F.col("first")))
-    return gone.select("doc_id", "line_no", *KEY)
+    gone = gone.select("doc_id", "line_no", *KEY)
+    return gone.unionByName(short_repeats(docs, min_words)) if short else gone
 
 
-def _with_cuts(docs: DataFrame, min_words: int, broadcast_lines: int = 1_500_000) -> DataFrame:
+def _with_cuts(docs: DataFrame, min_words: int, short: bool = False, broadcast_lines: int = 1_500_000) -> DataFrame:
     """``docs`` with _cut, the removed lines as (line_no, l1, l2); broadcast if they are at most broadcast_lines, as counted."""
-    gone = materialize(removed_lines(docs, min_words), "gone")
+    gone = materialize(removed_lines(docs, min_words, short), "gone")
     few = gone.limit(broadcast_lines + 1).count() <= broadcast_lines
     cuts = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", *KEY)).alias("_cut")).withColumnRenamed("doc_id", "_id")
     return docs.join(F.broadcast(cuts) if few else cuts, docs["doc_id"].eqNullSafe(cuts["_id"]), "left").drop("_id")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
-    """``docs`` with the removed lines cut out of the text; ``report`` adds n_lines and n_removed.
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False, short: bool = False) -> DataFrame:
+    """``docs`` with the removed lines cut out of the text; ``report`` adds n_lines and n_removed, ``short`` also takes exact repeats of shorter lines.
 
     With repeated doc_ids a line of a row goes only if number and content both match a removed place.
     """
-    rows = _with_cuts(docs, min_words)
+    rows = _with_cuts(docs, min_words, short)
     split = F.split("text", "\n")
     marked = F.transform(
         split,

@@ -48,7 +48,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True, short=True)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
