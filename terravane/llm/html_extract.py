@@ -25,8 +25,14 @@ from pyspark.sql import DataFrame
 from terravane.llm import logistic
 from terravane.runtime import ship
 
+#: Up to </head>; if that is missing, to the first tag or text that does not stand in a head.
+_HEAD = (
+    r"<(?P<head>head)\b[^>]*>(?:(?:(?!<(?:body|head)\b).)*?</head\s*>|"
+    r"(?:\s|<!--.*?(?:-->|\Z)|<(?P<own>script|style|noscript|template|title)\b[^>]*>.*?(?:</(?P=own)\s*>|\Z)|"
+    r"<(?:meta|link|base)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<![^>]*>)*+)|"
+)
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|" + _HEAD +
     r"</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -114,8 +120,8 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m[0]
         name = _NAME.match(tag)
-        if not name or m[1]:
-            if m[1] and m[1].lower() == "head":
+        if not name or m[1] or m["head"]:
+            if m["head"]:
                 end()
             continue
         name = name[1].lower()
