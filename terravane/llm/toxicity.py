@@ -1,19 +1,24 @@
 """Toxicity scores from the nearest labelled texts by exact TF-IDF cosine.
 
 Fit. At most ``max_pos`` toxic and ``max_neg`` other labelled rows, those with the smallest hashes of the
-doc_id, form the labelled set. Its padded character 4- and 5-grams that tell the classes apart (chi-square)
-are the terms, ``max_terms`` at most. Document frequencies are counted over all documents. The labelled
-rows with a term form the index: per term, postings in blocks of consecutive rows with each block's largest
-weight. These three numbers bound what the driver holds; nothing else grows with the corpus.
-
-Search. A text's blocks are visited by falling upper bound (its weights times block maxima) until the
-bound is under the k-th best cosine, so the k nearest are exact; equal cosines are ordered by row. The
-score is the share of toxic votes, each weighted by its cosine and by how many labelled rows its class
-member stands for, with one prior vote of the rate found among labelled texts that have no term; a text
-without terms has that rate.
-
-Rows: null and empty texts have no terms. Repeated rows are scored alike. A label other than 0 or 1 and
-a null doc_id teach nothing; conflicting labels of a doc_id count as toxic.
+doc_id, form the labelled set; every word of theirs is a term. A term's weight is its inverse document
+frequency, counted over all documents, times its relevance z^2 / (z^2 + 100) + 0.01, where z compares how
+often toxic and other labelled rows have it (zero if it leans to the others): so words that tell the
+classes apart make the distance, and no term is left out. What the driver holds is bounded by the two row
+numbers; nothing else grows with the corpus.
+
+Search. The index keeps, per term, postings in blocks of consecutive rows with each block's largest weight.
+A text's blocks with the greatest upper bounds are scored first; then every block whose bound reaches the
+k-th best cosine found. So the k nearest are exact. Rows that tie for the last places share them evenly:
+neither order nor doc_id decides.
+
+Score. The share of toxic votes, each weighted by its cosine and by how many labelled rows its class member
+stands for, with one prior vote of the base rate; a text without terms has that rate. The share is mapped to
+a probability by a logistic curve (Platt), fitted on the labelled rows, each scored without itself.
+
+Rows: null and empty texts have no terms. Repeated rows are scored alike. A label other than 0 or 1 and a
+null doc_id teach nothing; conflicting labels of a doc_id count as toxic. A doc_id may be of any type.
+``with_scores`` replaces input columns of its own output names; ``drop_toxic`` keeps them.
 """
 
 from __future__ import annotations
@@ -23,7 +28,6 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,101 +36,144 @@ from pyspark.sql import functions as F
 from terravane.runtime import ship
 
 THRESHOLD = 0.3
-_GAP = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def normalise(text: str | None) -> str:
-    return _GAP.sub(" ", f" {(text or '').lower()} ")
+def words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
-def grams(text: str) -> set[str]:
-    found = set()
-    for w in set(normalise(text).split()):
-        p = f" {w} "
-        for n in (4, 5):
-            found.update(p[i : i + n] for i in range(len(p) - n + 1))
-    return found
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of the given ranges, one range after the other."""
+    size = ends - starts
+    total = int(size.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    shift = starts - np.concatenate(([0], np.cumsum(size)[:-1]))
+    return np.repeat(shift, size) + np.arange(total)
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over unit vectors; row r is in block r // block."""
+    """Block-max inverted index over unit vectors (term -> weight); row r is in block r // block."""
 
     rows: list[dict[int, float]]
-    block: int = 64
-    bounds: np.ndarray = field(init=False)
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(init=False)
+    n_terms: int
+    block: int = 32
+    blocks: int = field(init=False)
 
     def __post_init__(self):
-        blocks = -(-len(self.rows) // self.block)
-        terms = 1 + max((t for r in self.rows for t in r), default=-1)
-        lists: dict[tuple[int, int], list] = {}
-        for r, vec in enumerate(self.rows):
-            for t, w in vec.items():
-                lists.setdefault((t, r // self.block), []).append((r % self.block, w))
-        self.bounds = np.zeros((terms, blocks))
-        self.postings = [{} for _ in range(blocks)]
-        for (t, b), x in lists.items():
-            ids, ws = np.array([i for i, _ in x]), np.array([w for _, w in x])
-            self.postings[b][t] = (ids, ws)
-            self.bounds[t, b] = ws.max()
-
-    def nearest(self, vec: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest with a cosine over zero, best first, ties by row."""
-        none = np.zeros(0, int), np.zeros(0)
-        terms = [t for t in vec if t < len(self.bounds)]
-        if not terms:
-            return none
-        q = np.array([vec[t] for t in terms])
-        upper = q @ self.bounds[terms]
-        ids, sims = none
-        for b in np.argsort(-upper, kind="stable"):
-            if upper[b] <= 0 or len(ids) == k and upper[b] < sims[-1] - 1e-9:
-                break
-            acc, own = np.zeros(self.block), self.postings[b]
-            for t, w in zip(terms, q):
-                if t in own:
-                    acc[own[t][0]] += w * own[t][1]
-            hit = np.flatnonzero(acc > 0)
-            ids, sims = np.concatenate([ids, hit + b * self.block]), np.concatenate([sims, np.round(acc[hit], 12)])
-            best = np.lexsort((ids, -sims))[:k]
-            ids, sims = ids[best], sims[best]
-        return ids, sims
+        self.blocks = max(1, -(-len(self.rows) // self.block))
+        row = np.repeat(np.arange(len(self.rows)), [len(v) for v in self.rows])
+        term = np.fromiter((t for v in self.rows for t in v), np.int64, len(row))
+        weight = np.fromiter((w for v in self.rows for w in v.values()), np.float64, len(row))
+        order = np.lexsort((row, term))
+        term, self.row, self.weight = term[order], row[order].astype(np.int32), weight[order]
+        # an entry is the run of one term's postings in one block
+        own = self.row // self.block
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
+        at = np.flatnonzero(new)
+        self.first = np.append(at, len(term))
+        self.entry_block = own[at].astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
+        self.of_term = np.searchsorted(term[at], np.arange(self.n_terms + 1))
+        del self.rows
+
+    def _cosines(self, entries: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+        a, z = self.first[entries], self.first[entries + 1]
+        at = _ranges(a, z)
+        return np.bincount(self.row[at], np.repeat(q, z - a) * self.weight[at], n)
+
+    def nearest(self, vec: dict[int, float], k: int, n_rows: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest with a cosine over zero, best first, all that tie for the last place included."""
+        if not vec or not n_rows:
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms = np.fromiter(vec, np.int64, len(vec))
+        q = np.fromiter(vec.values(), np.float64, len(vec))
+        a, z = self.of_term[terms], self.of_term[terms + 1]
+        entries, q = _ranges(a, z), np.repeat(q, z - a)
+        own = self.entry_block[entries]
+        upper = np.bincount(own, q * self.top[entries], self.blocks)
+        lead = np.zeros(self.blocks, bool)
+        lead[np.argsort(-upper, kind="stable")[: -(-2 * k // self.block) + 1]] = True
+        hit = lead[own]
+        cos = self._cosines(entries[hit], q[hit], n_rows)
+        if skip >= 0:
+            cos[skip] = 0
+        bar = np.partition(cos, n_rows - k)[n_rows - k] if k < n_rows else 0.0
+        rest = ~lead & (upper >= bar - 1e-9) & (upper > 0)
+        if rest.any():
+            hit = rest[own]
+            cos += self._cosines(entries[hit], q[hit], n_rows)
+            if skip >= 0:
+                cos[skip] = 0
+            bar = np.partition(cos, n_rows - k)[n_rows - k] if k < n_rows else 0.0
+        cos = np.round(cos, 9)
+        found = np.flatnonzero((cos >= np.round(bar, 9)) & (cos > 0))
+        found = found[np.argsort(-cos[found], kind="stable")]
+        return found, cos[found]
 
 
 @dataclass
 class Model:
-    terms: list[str]
-    idf: np.ndarray
+    terms: dict[str, int]
+    idf: np.ndarray  # weight of each term: idf times relevance
     index: Index
     labels: np.ndarray
     weights: np.ndarray
     doc_ids: list
     prior: float
     k: int = 15
-
-    def automaton(self):
-        a = ahocorasick.Automaton()
-        for i, t in enumerate(self.terms):
-            a.add_word(t, i)
-        if self.terms:
-            a.make_automaton()
-        return a
+    slope: float = 1.0
+    shift: float = 0.0
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
+        raw = {t: (1 + math.log(c)) * w for t, c in counts.items() if (w := self.idf[t]) > 0}
         norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in sorted(raw.items())} if norm else {}
+        return {t: w / norm for t, w in raw.items()} if norm else {}
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        known = self.terms
+        return {known[w]: n for w, n in sorted(Counter(words(text)).items()) if w in known}
+
+    def votes(self, counts: dict[int, int], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """(share of toxic votes, rows and cosines of the nearest)."""
+        ids, cos = self.index.nearest(self.vector(counts), self.k, len(self.labels), skip)
+        part = np.ones(len(ids))
+        if len(ids) > self.k:
+            tied = cos == cos[-1]
+            part[tied] = (self.k - (~tied).sum()) / tied.sum()
+        w = part * cos * self.weights[ids]
+        return float((math.fsum(w * self.labels[ids]) + self.prior) / (math.fsum(w) + 1.0)), ids, cos
+
+    def calibrated(self, share: float) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * _logit(share) + self.shift))))
 
     def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        ids, sims = self.index.nearest(self.vector(counts), self.k)
-        w = sims * self.weights[ids]
-        score = (float((w * self.labels[ids]).sum()) + self.prior) / (float(w.sum()) + 1.0)
-        return min(1.0, max(0.0, score)), ids, sims
+        share, ids, cos = self.votes(counts)
+        return self.calibrated(share), ids, cos
+
+
+def _logit(p: float) -> float:
+    p = min(1 - 1e-4, max(1e-4, p))
+    return math.log(p / (1 - p))
 
 
-def _counts(automaton, text: str | None) -> Counter:
-    return Counter(t for _, t in automaton.iter(normalise(text))) if len(automaton) else Counter()
+def platt(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve through weighted labels, by Newton's method; the slope is positive."""
+    x, y, w = np.array([_logit(s) for s in shares]), labels, weights / weights.sum()
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        d, h = w * (p - y), w * p * (1 - p) + 1e-9
+        g = np.array([(d * x).sum() + 1e-3 * (a - 1), d.sum()])
+        m = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum()]])
+        step = np.linalg.solve(m, g)
+        a, b = max(1e-3, a - step[0]), b - step[1]
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(a), float(b)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -144,108 +191,89 @@ def labelled_set(labels: DataFrame, max_pos: int, max_neg: int) -> tuple[DataFra
     return picked[0].unionByName(picked[1]), {c: max(1.0, total.get(c, 0) / caps[c]) for c in (0, 1)}
 
 
-def _select_terms(sample: DataFrame, max_terms: int) -> list[str]:
-    def count(batches):
-        seen: dict[str, list[int]] = {}
-        for b in batches:
-            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                for g in grams(text or ""):
-                    seen.setdefault(g, [0, 0])[y] += 1
-        yield pa.RecordBatch.from_pydict(
-            {"g": pa.array(list(seen), pa.string()), "neg": pa.array([x[0] for x in seen.values()], pa.int64()), "pos": pa.array([x[1] for x in seen.values()], pa.int64())}
-        )
-
-    def totals(batches):
-        n = [0, 0]
-        for b in batches:
-            for y in b.column("toxic").to_pylist():
-                n[y] += 1
-        yield pa.RecordBatch.from_pydict({"n0": [n[0]], "n1": [n[1]]})
-
-    n = sample.mapInArrow(totals, "n0 long, n1 long").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-    n0, n1 = n.n0 or 0, n.n1 or 0
+def relevance(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """z^2 / (z^2 + 100) + 0.01 of each term, z from the shares of toxic and of other rows that have it; z is 0 where it is negative."""
     if not n0 or not n1:
-        return []
-    found = sample.mapInArrow(count, "g string, neg long, pos long").groupBy("g").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    a, b = F.col("pos") / n1, F.col("neg") / n0
-    both = (F.col("pos") + F.col("neg")) / (n0 + n1)
-    z = (a - b) / F.sqrt(both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
-    found = found.filter(F.col("pos") >= max(3, n1 // 400)).filter(a > 4 * b).withColumn("z", z).filter("z > 4")
-    return [r.g for r in found.orderBy(F.desc("z"), "g").limit(max_terms).collect()]
+        return np.full(len(pos), 0.01)
+    both = (pos + neg) / (n0 + n1)
+    z = (pos / n1 - neg / n0) / np.sqrt(both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
+    z2 = np.maximum(z, 0.0) ** 2
+    return z2 / (z2 + 100) + 0.01
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 3000, max_neg: int = 6000, max_terms: int = 400, k: int = 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 1500, max_neg: int = 3000, k: int = 15) -> Model:
     """Learn from the labelled rows that are not held out; count document frequencies over all of ``docs``."""
     ship(docs.sparkSession)
     picked, stands_for = labelled_set(labels, max_pos, max_neg)
     picked = picked.select(F.col("doc_id").alias("_id"), "toxic")  # max_pos + max_neg rows at most
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    sample = sample.select("doc_id", "text", "toxic").repartition(6, "doc_id")
-    terms = _select_terms(sample, max_terms)
-    model = Model(terms, np.ones(len(terms)), Index([]), np.zeros(0), np.zeros(0), [], 0.0, k)
+
+    def counted(batches):
+        for b in batches:
+            found = [sorted(Counter(words(t)).items()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))],
+                ["doc_id", "toxic", "w", "n"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(counted, f"doc_id {kind}, toxic int, w array<string>, n array<int>").collect()
+    terms: dict[str, int] = {w: i for i, w in enumerate(sorted({w for r in rows for w in r.w}))}
 
     def frequency(batches):
-        automaton, df, n = model.automaton(), Counter(), 0
+        df, n = Counter(), 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                df.update(set(_counts(automaton, text)))
+                df.update(terms.keys() & set(words(text)))
                 n += 1
-        yield pa.RecordBatch.from_pydict({"t": pa.array([-1, *df], pa.int32()), "n": pa.array([n, *df.values()], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"t": pa.array([-1, *(terms[w] for w in df)], pa.int32()), "n": pa.array([n, *df.values()], pa.int64())})
 
     df = {r.t: r.n for r in docs.select("text").mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     total = df.get(-1, 0)
-    model.idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-
-    def vectors(batches):
-        automaton = model.automaton()
-        for b in batches:
-            c = [_counts(automaton, t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": b.column("doc_id"),
-                    "toxic": b.column("toxic"),
-                    "t": pa.array([list(x) for x in c], pa.list_(pa.int32())),
-                    "c": pa.array([list(x.values()) for x in c], pa.list_(pa.int32())),
-                }
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(vectors, f"doc_id {kind}, toxic int, t array<int>, c array<int>").collect()
-    rows.sort(key=lambda r: (str(r.doc_id), r.t, r.c))
-    bare = [r for r in rows if not r.t]
-    weight = sum(stands_for[r.toxic] for r in bare)
-    model.prior = sum(stands_for[1] for r in bare if r.toxic) / weight if weight else 0.0
-    # rows with like vectors side by side make tight block maxima
-    own = sorted((r for r in rows if r.t), key=lambda r: (sorted(r.t), str(r.doc_id)))
-    model.index = Index([model.vector(dict(zip(r.t, r.c))) for r in own])
-    model.labels = np.array([r.toxic for r in own], float)
-    model.weights = np.array([stands_for[r.toxic] for r in own], float)
-    model.doc_ids = [r.doc_id for r in own]
+    seen, n_of = np.zeros((2, len(terms))), [0, 0]
+    for r in rows:
+        seen[r.toxic, [terms[w] for w in r.w]] += 1
+        n_of[r.toxic] += 1
+    idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
+    model = Model(terms, idf * relevance(seen[1], seen[0], n_of[1], n_of[0]), Index([], len(terms)), np.zeros(0), np.zeros(0), [], 0.0, k)
+    own = [(model.vector({terms[w]: n for w, n in zip(r.w, r.n)}), r) for r in rows]
+    # rows with a like strongest term side by side make tight block maxima
+    lead = lambda v: max(v.items(), key=lambda x: (x[1], x[0])) if v else (-1, 0.0)
+    own.sort(key=lambda x: (x[1].toxic, lead(x[0]), str(x[1].doc_id), x[1].w))
+    model.index = Index([v for v, _ in own], len(terms))
+    model.labels = np.array([r.toxic for _, r in own], float)
+    model.weights = np.array([stands_for[r.toxic] for _, r in own], float)
+    model.doc_ids = [r.doc_id for _, r in own]
+    if own and model.weights.sum():
+        model.prior = float((model.weights * model.labels).sum() / model.weights.sum())
+        if 0 < model.labels.sum() < len(own):
+            counts = [{terms[w]: n for w, n in zip(r.w, r.n)} for _, r in own]
+            shares = np.array([model.votes(c, skip=i)[0] for i, c in enumerate(counts)])
+            model.slope, model.shift = platt(shares, model.labels, model.weights)
     return model
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", evidence: int = 3) -> DataFrame:
-    """``docs`` with score, evidence_ids and evidence_cosines (the nearest labelled rows)."""
+    """``docs`` with score, evidence_ids (as text) and evidence_cosines (the nearest labelled rows)."""
     ship(docs.sparkSession)
-    names = docs.columns
-    at = names.index(text)
-    kind = pa.from_numpy_dtype(np.int64)
+    docs = docs.drop(*({"score", "evidence_ids", "evidence_cosines"} - {text}))
+    at = docs.columns.index(text)
+    ids = [str(x) for x in model.doc_ids]
 
     def run(batches):
-        automaton = model.automaton()
         for b in batches:
-            found = [model.score(_counts(automaton, t)) for t in b.column(at).to_pylist()]
+            found = [model.score(model.counts(t)) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     *b.columns,
                     pa.array([x[0] for x in found], pa.float64()),
-                    pa.array([[model.doc_ids[i] for i in x[1][:evidence]] for x in found], pa.list_(kind)),
+                    pa.array([[ids[i] for i in x[1][:evidence]] for x in found], pa.list_(pa.string())),
                     pa.array([x[2][:evidence].tolist() for x in found], pa.list_(pa.float64())),
                 ],
                 [*b.schema.names, "score", "evidence_ids", "evidence_cosines"],
             )
 
-    out = docs.select("*", F.lit(0.0).alias("score"), F.array(F.lit(0).cast("long")).alias("evidence_ids"), F.array(F.lit(0.0)).alias("evidence_cosines"))
+    out = docs.select("*", F.lit(0.0).alias("score"), F.array(F.lit("")).alias("evidence_ids"), F.array(F.lit(0.0)).alias("evidence_cosines"))
     return docs.mapInArrow(run, out.schema)
 
 
