@@ -4,7 +4,9 @@ Two texts link if their sets of word shingles have a Jaccard similarity of 0.8 o
 SimHash fingerprints differ by about 10 bits and by 16 and more at times, so no radius finds all such pairs;
 here candidates come from a prefix join, which misses none, and each is verified on the sets.
 
-Join. Shingles are 64-bit hashes, put in one order for all texts: those that are common in a bounded sample come
+Join. Before sets meet, a pair's histograms do: 256 counts of the shingles' low bytes. The sum of the lesser counts
+bounds the overlap from above, so pairs that fall short of it are out without a loss, and only the few others are
+compared set by set. Shingles are 64-bit hashes, put in one order for all texts: those that are common in a bounded sample come
 last (the sample shapes the order only). A set of n shingles that is 0.8 similar to another shares one of its
 first n - ceil(0.8 n) + 1 with the first ones of the other. Equal sets are one node. Per shared shingle each node
 is compared with one head of it first, verified links become components, and after ``rounds`` such rounds all
@@ -47,6 +49,19 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
+BUCKETS = 256
+
+
+def histogram(items: np.ndarray) -> bytes:
+    """Counts of the shingles by their low byte, as 32-bit integers."""
+    return np.bincount((items & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes()
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows of two histogram matrices whose sets can have a Jaccard similarity of 4/5 or more."""
+    return 9 * np.minimum(x, y).sum(1, dtype=np.int64) >= 4 * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64))
+
+
 def prefix(items: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.8 n) + 1 shingles: not common ones first, then by hash."""
     order = np.zeros(len(items), np.int64)
@@ -74,16 +89,22 @@ def _with_node(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _common(docs: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles that several sampled texts have, in how many)."""
-    text = F.substring("text", 1, 20_000)
-    rows = docs.select(text.alias("text")).orderBy(F.xxhash64("text")).limit(sample).collect()
-    sets = {s.tobytes(): s for s in (shingle_set((r.text or "").encode(), shingle) for r in rows)}
-    found, count = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
-    return found[count > 2], count[count > 2]
+    """(shingles that several sampled texts have, in how many); at most half as many as the sample has shingles."""
+    rows = docs.select("text").orderBy(F.xxhash64("text")).limit(sample).distinct()
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t or b"", shingle) for t in b.column(0).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))})
+
+    found = rows.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).filter("c > 2").orderBy("h").collect()
+    hashes, count = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.c for r in found], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], count[order]
 
 
 def _sets(docs: DataFrame, shingle: int, sample: int) -> DataFrame:
-    """(doc_id, node, n, prefix, items) of each text."""
+    """(doc_id, node, n, prefix, hist, items) of each text."""
     common, rank = _common(docs, shingle, sample)
 
     def run(batches):
@@ -94,24 +115,41 @@ def _sets(docs: DataFrame, shingle: int, sample: int) -> DataFrame:
             firsts = np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)
             node = np.fromiter(map(_name, sets), np.uint64, len(sets)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(firsts)), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["doc_id", "node", "n", "prefix", "items"],
+                [b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(firsts)), pa.array([histogram(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["doc_id", "node", "n", "prefix", "hist", "items"],
             )
 
-    schema = docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("node", "n")), F.array(F.lit(0).cast("long")).alias("prefix"), F.lit(b"").alias("items")).schema
+    schema = docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("node", "n")), F.array(F.lit(0).cast("long")).alias("prefix"), F.lit(b"").alias("hist"), F.lit(b"").alias("items")).schema
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    with_sets = pairs.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b").select("a", "b", "x", "y")
+def _compared(pairs: DataFrame, own: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) that pass ``test`` on two lists of bytes of ``own`` (node, bytes)."""
+    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for b in batches:
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            ok = test(b.column(2).to_pylist(), b.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return with_sets.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _may_be(xs: list, ys: list) -> np.ndarray:
+    x, y = (np.frombuffer(b"".join(v), "<u4").reshape(-1, BUCKETS) for v in (xs, ys))
+    return may_be_similar(x, y)
+
+
+def _are(xs: list, ys: list) -> list[bool]:
+    return [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(xs, ys)]
+
+
+def _verified(pairs: DataFrame, hists: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; sets are read only for the pairs that their histograms let through."""
+    able = materialize(_compared(pairs, hists, _may_be), "able")
+    nodes = able.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    items = sets.select("node", "items").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return _compared(able, items, _are)
 
 
 def components(sets: DataFrame, rounds: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -120,7 +158,8 @@ def components(sets: DataFrame, rounds: int = 2, broadcast_rows: int = 1_000_000
     shared = materialize(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "shared")
     few = shared.limit(broadcast_rows + 1).count() <= broadcast_rows
     held = materialize(entries.join(F.broadcast(shared) if few else shared, "key", "left_semi").distinct(), "held")
-    items = materialize(sets.select("node", "items").join(held.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "items")
+    hists = sets.select("node", "hist").join(held.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    hists = materialize(hists, "hists")
     comp = links = None
     near = F.expr("5 * least(n, n2) >= 4 * greatest(n, n2)")
     for k in range(rounds + 1):
@@ -138,7 +177,7 @@ def components(sets: DataFrame, rounds: int = 2, broadcast_rows: int = 1_000_000
             other = left.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
             met = left.join(other, "key").filter((F.col("c") < F.col("c2")) & near)
         pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        found = materialize(_verified(pairs, items), "links")
+        found = materialize(_verified(pairs, hists, sets), "links")
         links = found if links is None else links.unionByName(found)
         comp = materialize(connected_components(links), "components")
     return comp
