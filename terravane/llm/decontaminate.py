@@ -1,12 +1,14 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Items are cut into windows of ``n`` consecutive normalised words; an item of fewer words is one window.
-The distinct windows form the hash set. Each training text hashes every window of its own, tests it
-against a one-byte-per-bucket table of the hash set (a literal of at most ``max_table`` bytes), and only
-the windows that pass are exploded and joined with the hash set on the window text itself, so a hit is
-exact. The join broadcasts the hash set if its size, as measured, is under ``broadcast_bytes`` and
-shuffles otherwise; with more windows than ``max_table`` / 16 the table is left out and every window is
-joined. Hits are keyed by the text's MD5, so copies of a text meet in map-side aggregation.
+The distinct windows form the hash set. Each training text is read and cut into words once. Every window of
+it, of each length that the items have, is tested against two one-byte-per-bucket tables of the hash set
+(literals of at most ``max_table`` bytes each), and only the windows that pass both are kept, written with
+the text's MD5 and word count, and joined with the hash set on the window text itself, so a hit is exact.
+The join broadcasts the hash set if its size, as measured, is under ``broadcast_bytes`` and shuffles
+otherwise; with more windows than ``max_table`` / 16 the tables are left out and every window is joined.
+Hits are keyed by the text's MD5, so copies of a text meet in map-side aggregation. Stages that need the
+texts again meet the hits by broadcast up to ``broadcast_keys`` of them, as counted, and by shuffle beyond.
 
 Rows: a null text has no words; a null item text has no windows; a null item_id marks hits but is not
 listed. Repeated rows and ids are kept as they are. Other columns are not read.
@@ -19,6 +21,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.runtime import materialize
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 10
 
@@ -41,67 +45,81 @@ def item_windows(items: DataFrame, n: int = N) -> DataFrame:
     return w.groupBy("win", "len").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
 
 
-def _bucket(words: Column, size: int) -> Column:
-    return F.pmod(F.xxhash64(words), F.lit(size))
+def _bucket(words: Column, seed: int, size: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), words), F.lit(size))
+
+
+def _tables(grams: DataFrame, size: int) -> list[Column]:
+    """Two tables of the windows' buckets, one byte a bucket."""
+    w = F.split("win", " ")
+    out = []
+    for seed in (1, 2):
+        table = bytearray(size)
+        for r in grams.select(_bucket(w, seed, size).alias("x")).distinct().collect():  # at most size rows
+            table[r.x] = 1
+        out.append(F.lit(bytes(table)))
+    return out
 
 
-def _windows(docs: DataFrame, grams: DataFrame, lengths: list[int], table_size: int) -> DataFrame:
-    """(key, p, len, win) of the windows of ``docs`` (key, w) that may be in ``grams``."""
-    out = None
+def _candidates(lengths: list[int], tables: list[Column], size: int) -> Column:
+    """(p, len, win) of the windows of the words w that may be in the hash set; p from 1."""
+    n, parts = F.size("w"), []
     for k in lengths:
-        size = F.size("w")
-        starts = F.when(size >= k, F.sequence(F.lit(1), size - (k - 1))).otherwise(F.array().cast("array<int>"))
-        if table_size:
-            own = grams.filter(F.col("len") == k).select(
-                _bucket(F.split("win", " "), table_size).alias("x")
-            )
-            table = bytearray(table_size)
-            for r in own.distinct().collect():  # at most table_size rows
-                table[r.x] = 1
-            bits = F.lit(bytes(table))
+        starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
+        for seed, table in enumerate(tables, 1):
             starts = F.filter(
                 starts,
-                lambda p: F.substring(bits, (_bucket(F.slice("w", p, F.lit(k)), table_size) + 1).cast("int"), F.lit(1))
-                == F.lit(b"\x01"),
+                lambda p: F.substring(table, (_bucket(F.slice("w", p, F.lit(k)), seed, size) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01"),
             )
-        wins = F.transform(starts, lambda p: F.struct(p.alias("p"), F.array_join(F.slice("w", p, F.lit(k)), " ").alias("win")))
-        part = docs.select("key", F.explode(wins).alias("x")).select("key", "x.p", F.lit(k).alias("len"), "x.win")
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(F.transform(starts, lambda p: F.struct(p.alias("p"), F.lit(k).alias("len"), F.array_join(F.slice("w", p, F.lit(k)), " ").alias("win"))))
+    return F.concat(*parts)
+
 
+def _key(text: str = "text") -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
-def find_hits(docs: DataFrame, items: DataFrame, n: int = N, max_table: int = 1 << 20, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """(key, hits, item_ids) of each distinct text of ``docs`` with a hit; hits are (p, len), p from 1."""
+
+def scan(docs: DataFrame, items: DataFrame, n: int = N, max_table: int = 1 << 20, broadcast_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """(rows, hits): rows are (doc_id, key, n_words) of every document; hits are (key, hits, item_ids) of each distinct text with
+    a hit, as (p, len), p from 1."""
     grams = item_windows(items, n)
     stats = grams.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.length("win") + 64).alias("b")).collect()
     lengths, total = sorted(r.len for r in stats), sum(r.n for r in stats)
-    table_size = 1 << 12
-    while table_size < 32 * total and table_size < max_table:
-        table_size *= 2
-    if total > max_table // 16:
-        table_size = 0
-    keyed = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), words_of(F.col("text")).alias("w"))
-    found = _windows(keyed, grams, lengths or [n], table_size)
+    size = 1 << 12
+    while size < 32 * total and size < max_table:
+        size *= 2
+    tables = _tables(grams, size) if total <= max_table // 16 else []
+    cut = docs.select("doc_id", _key().alias("key"), words_of(F.col("text")).alias("w"))
+    found = _candidates(lengths or [n], tables, size)
+    rows = materialize(cut.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), found.alias("found")), "windows")
+    found = rows.select("key", F.explode("found").alias("x")).select("key", "x.*")
     small = sum(r.b for r in stats) <= broadcast_bytes
     found = found.join(F.broadcast(grams) if small else grams, ["win", "len"])
     found = found.groupBy("key", "p", "len", "item_ids").agg(F.lit(1).alias("one"))
-    return found.groupBy("key").agg(
+    hits = found.groupBy("key").agg(
         F.collect_set(F.struct("p", "len")).alias("hits"),
         F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"),
     )
+    return rows.drop("found"), hits
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = N, **search) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, item_ids, contaminated) of every row of ``docs``."""
-    hits = find_hits(docs, items, n, **search)
-    covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["p"], h["p"] + h["len"] - 1)))
-    hits = hits.select("key", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.array_sort("item_ids").alias("item_ids"))
-    rows = docs.select(
-        "doc_id",
-        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"),
-        F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
-    )
-    joined = rows.join(hits, "key", "left")
+def _covered() -> Column:
+    return F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["p"], h["p"] + h["len"] - 1))))
+
+
+def _few(hits: DataFrame, broadcast_keys: int) -> DataFrame:
+    """``hits`` (_key and one number), written, and marked for broadcast if they are at most broadcast_keys (about 64 bytes each)."""
+    hits = materialize(hits, "hits")
+    return F.broadcast(hits) if hits.count() <= broadcast_keys else hits
+
+
+def contamination(docs: DataFrame, items: DataFrame, n: int = N, broadcast_bytes: int = 64 << 20, **search) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, item_ids, contaminated) of every row of ``docs``; hits are broadcast up to broadcast_bytes, as measured."""
+    rows, hits = scan(docs, items, n, broadcast_bytes=broadcast_bytes, **search)
+    hits = hits.select("key", F.size(_covered()).cast("long").alias("n_hit"), F.array_sort("item_ids").alias("item_ids"))
+    hits = materialize(hits, "hits")
+    size = hits.agg(F.sum(F.lit(96) + F.aggregate("item_ids", F.lit(0), lambda t, x: t + F.length(x) + 24))).first()[0] or 0
+    joined = rows.join(F.broadcast(hits) if size <= broadcast_bytes else hits, "key", "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(
@@ -109,25 +127,20 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, **search) -> Da
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N, min_fraction: float = 0.0, **search) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N, min_fraction: float = 0.0, broadcast_keys: int = 200_000, **search) -> DataFrame:
     """``docs`` without the documents whose words are hit by more than ``min_fraction``."""
-    hits = find_hits(docs, items, n, **search)
-    covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["p"], h["p"] + h["len"] - 1)))
-    hits = hits.select(F.col("key").alias("_key"), F.size(F.array_distinct(covered)).alias("_n"))
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    if not min_fraction:
-        return keyed.join(hits, "_key", "left_anti").select(*docs.columns)
-    keyed = keyed.join(hits, "_key", "left")
-    share = F.coalesce("_n", F.lit(0)) / F.greatest(F.size(words_of(F.col("text"))), F.lit(1))
-    return keyed.filter(share <= min_fraction).select(*docs.columns)
+    rows, hits = scan(docs, items, n, **search)
+    hits = hits.select("key", F.size(_covered()).alias("n_hit"))
+    gone = rows.select("key", "n_words").distinct().join(hits, "key").filter(F.col("n_hit") / F.greatest("n_words", F.lit(1)) > min_fraction)
+    gone = _few(gone.select(F.col("key").alias("_key")), broadcast_keys)
+    return docs.withColumn("_key", _key()).join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = N, **search) -> DataFrame:
     """``docs`` with every hit word cut out of the text, the white space and marks around it left in place."""
-    hits = find_hits(docs, items, n, **search)
-    covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["p"], h["p"] + h["len"] - 1)))
-    hits = hits.select(F.col("key").alias("_key"), F.array_distinct(covered).alias("_cut"))
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(hits, "_key", "left")
+    _, hits = scan(docs, items, n, **search)
+    hits = hits.select(F.col("key").alias("_key"), _covered().alias("_cut"))
+    keyed = docs.withColumn("_key", _key()).join(hits, "_key", "left")
     # word k stands between gap k and gap k + 1
     raw_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     words = F.regexp_extract_all("text", F.lit(raw_word), F.lit(0))
