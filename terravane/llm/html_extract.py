@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import deque
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -44,6 +43,8 @@ _INLINE = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HELD = ("nav", "header", "footer", "aside", "form", "menu", "article", "main", "dialog")
+_SINGLE = frozenset("li h1 h2 h3 h4 h5 h6 td tr dt dd option".split())
+_FENCE = frozenset(("ul", "ol", "table", "div", "section", "blockquote", *_HELD))
 _HINTS = {
     "ad": re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner)(?:$|[\s_-])"),
     "notice": re.compile(r"cookie|consent|notice|alert|popup|modal|newsletter|subscribe|gdpr"),
@@ -67,9 +68,36 @@ class Block:
 
 @dataclass
 class _Open:
+    """An open tag; own and box are those of the nearest such tag up to here, fence is the place of the nearest fence."""
+
     name: str
     features: frozenset = frozenset()
     box: int = 0
+    own: str = ""
+    fence: int = -1
+
+
+class _Stack:
+    """The open tags, with the places of each name, so that no search walks the stack."""
+
+    def __init__(self):
+        self.tags = [_Open("")]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: _Open):
+        self.places.setdefault(tag.name, []).append(len(self.tags))
+        if tag.name in _FENCE:
+            tag.fence = len(self.tags)
+        self.tags.append(tag)
+
+    def last(self, name: str) -> int:
+        """The innermost open tag of that name, -1 if there is none."""
+        found = self.places.get(name)
+        return found[-1] if found else -1
+
+    def cut(self, place: int):
+        while len(self.tags) > place:
+            self.places[self.tags.pop().name].pop()
 
 
 @dataclass
@@ -82,18 +110,17 @@ class _Run:
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     out: list[Block] = []
-    stack, boxes, run, links = [_Open("")], 0, _Run(), 0
+    stack, boxes, run, links = _Stack(), 0, _Run(), 0
 
     def end():
         nonlocal run
         if run.parts:
             text = " ".join(_html.unescape("".join(run.parts)).split())
             if text:
-                top = stack[-1]
+                top = stack.tags[-1]
                 f = set(top.features)
-                own = next((x.name for x in reversed(stack) if x.name in _OWN), None)
-                if own:
-                    f.add(_AT[f"own:{own}"])
+                if top.own:
+                    f.add(_AT[f"own:{top.own}"])
                 if run.size and 2 * run.linked > run.size:
                     f.add(_AT["links"])
                 n = len(text)
@@ -102,8 +129,7 @@ def blocks(page: str) -> list[Block]:
                     f.add(_AT["stop"])
                 if "©" in text:
                     f.add(_AT["sign"])
-                box = next((x.box for x in reversed(stack) if x.box), 0)
-                out.append(Block(text, sorted(f), box))
+                out.append(Block(text, sorted(f), top.box))
             run = _Run()
 
     def say(s: str):
@@ -135,34 +161,33 @@ def blocks(page: str) -> list[Block]:
         end()
         links = 0
         if closing:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), None)
-            if k:
-                del stack[k:]
+            k = stack.last(name)
+            if k > 0:
+                stack.cut(k)
             continue
         if name in _VOID or tag.endswith("/>"):
             continue
-        if stack[-1].name == "p":  # a block tag closes an open paragraph
-            stack.pop()
-        if name in ("li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "dt", "dd", "option"):
+        if stack.tags[-1].name == "p":  # a block tag closes an open paragraph
+            stack.cut(len(stack.tags) - 1)
+        if name in _SINGLE:
             # an open one of the same kind ends here, unless a list or table stands between
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if stack[k].name in ("ul", "ol", "table", "div", "section", "blockquote", *_HELD):
-                    break
-        top = stack[-1]
-        f, box = top.features, 0
+            k = stack.last(name)
+            if k > stack.tags[-1].fence:
+                stack.cut(k)
+        top = stack.tags[-1]
+        f, box, own = top.features, top.box, top.own
         if name in _HELD:
             inside = _AT["in:article"] in f or _AT["in:main"] in f
             f = f | {_AT["head:article" if name == "header" and inside else f"in:{name}"]}
         hints = " ".join(a or b or c for a, b, c in _HINT.findall(tag)).lower()
         if hints:
             f = f | {_AT[f"hint:{k}"] for k, p in _HINTS.items() if p.search(hints)}
-        if name not in _OWN:
+        if name in _OWN:
+            own = name
+        else:
             boxes += 1
             box = boxes
-        stack.append(_Open(name, f, box))
+        stack.push(_Open(name, f, box, own, top.fence))
     say(page[at:])
     end()
     return out
@@ -203,49 +228,68 @@ def model() -> tuple[list[float], float]:
 def min_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """Labels of least cost: a node costs abs(gain) on its unlikely side, an edge its capacity if cut.
 
-    Max-flow by shortest augmenting paths (Edmonds and Karp) from nodes with surplus to nodes with deficit;
-    True is the source side, that is, what cannot be cut off more cheaply.
+    Max-flow from nodes with surplus to nodes with deficit by level graphs (Dinitz): each phase finds all
+    nodes' distances from any surplus at once and pushes flow along shortest paths until none is left. True
+    is the source side, that is, what cannot be cut off more cheaply.
     """
     n = len(gain)
     left = list(gain)
-    cap: list[dict[int, int]] = [{} for _ in range(n)]
+    to, cap, out = [], [], [[] for _ in range(n)]  # edge e and its reverse e ^ 1
     for a, b, c in edges:
-        cap[a][b] = cap[a].get(b, 0) + c
-        cap[b][a] = cap[b].get(a, 0) + c
-    for s in range(n):
-        while left[s] > 0:
-            come, queue, goal = {s: -1}, deque([s]), -1
-            while queue and goal < 0:
-                v = queue.popleft()
-                for w, c in cap[v].items():
-                    if c > 0 and w not in come:
-                        come[w] = v
-                        if left[w] < 0:
-                            goal = w
-                            break
-                        queue.append(w)
-            if goal < 0:
-                break
-            push, v = min(left[s], -left[goal]), goal
-            while v != s:
-                push = min(push, cap[come[v]][v])
-                v = come[v]
-            v = goal
-            while v != s:
-                cap[come[v]][v] -= push
-                cap[v][come[v]] += push
-                v = come[v]
-            left[s] -= push
-            left[goal] += push
-    seen = [x > 0 for x in left]
-    queue = deque(i for i in range(n) if seen[i])
-    while queue:
-        v = queue.popleft()
-        for w, c in cap[v].items():
-            if c > 0 and not seen[w]:
-                seen[w] = True
-                queue.append(w)
-    return seen
+        out[a].append(len(to))
+        to.append(b)
+        out[b].append(len(to))
+        to.append(a)
+        cap += [c, c]
+
+    def levels() -> tuple[list[int], list[int], bool]:
+        level, queue, met = [-1] * n, [i for i in range(n) if left[i] > 0], False
+        for i in queue:
+            level[i] = 0
+        sources = list(queue)
+        while queue and not met:
+            ahead = []
+            for v in queue:
+                for e in out[v]:
+                    w = to[e]
+                    if cap[e] and level[w] < 0:
+                        level[w] = level[v] + 1
+                        met = met or left[w] < 0
+                        ahead.append(w)
+            queue = ahead
+        return level, sources, met
+
+    while True:
+        level, sources, met = levels()
+        if not met:
+            return [x >= 0 for x in level]
+        at = [0] * n
+        for s in sources:
+            path, v = [], s
+            while left[s] > 0:
+                if left[v] < 0:
+                    push = min(left[s], -left[v], *(cap[e] for e in path))
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    left[s] -= push
+                    left[v] += push
+                    path, v = [], s
+                    continue
+                own, e = out[v], -1
+                while at[v] < len(own):
+                    e = own[at[v]]
+                    if cap[e] and level[to[e]] == level[v] + 1:
+                        break
+                    at[v] += 1
+                if at[v] < len(own):
+                    path.append(e)
+                    v = to[e]
+                elif path:  # a dead end: step back past the edge that led here
+                    v = to[path.pop() ^ 1]
+                    at[v] += 1
+                else:
+                    break
 
 
 def labels(page: list[Block], near: int = 30, same_box: int = 30) -> list[bool]:
