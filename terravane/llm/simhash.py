@@ -6,8 +6,9 @@ fingerprints link if they differ in at most ``radius`` bits.
 Search. Distances between 64-bit fingerprints of unrelated texts crowd around 32, where a vantage point
 prunes little. So the bits are cut into blocks and each block gets a tree of its own: a pair within
 ``radius`` bits differs by at most ``radius // blocks`` bits in one block, and that tree, searched at
-this small radius, must find it. The upper levels of each tree are built on the driver from a bounded
-sample of fingerprints (``sample`` rows; it only shapes the shards) and route every fingerprint: as data
+this small radius, must find it. The upper levels of each tree are built on the driver from a sample of
+fingerprints, whose size and the trees' depth follow the counted fingerprints (16 for each wanted shard, from
+``sample`` to ``max_sample`` rows of 8 bytes; it only shapes the shards), and route every fingerprint: as data
 to the shard of its path, as a query also to each shard whose boundary its ball overlaps (triangle
 bound). Each shard continues the tree over its own rows and compares leaves on all 64 bits, so no pair
 is missed. A shard over ``shard_rows`` is dealt as a grid of data chunks by query chunks. A shard gives
@@ -189,13 +190,13 @@ def shard_links(data: np.ndarray, queries: np.ndarray, block: tuple[int, int], r
 
 
 def fingerprint_links(
-    fps: DataFrame, radius: int = RADIUS, blocks: int = 3, sample: int = 4096, shard_rows: int = 20_000, max_depth: int = 10
+    fps: DataFrame, radius: int = RADIUS, blocks: int = 3, sample: int = 4096, shard_rows: int = 20_000, max_sample: int = 1 << 18
 ) -> DataFrame:
     """Spanning links (a, b) between the distinct non-null longs ``fps.fp`` within ``radius`` bits."""
     ship(fps.sparkSession)
     total = fps.count()
-    depth = min(max_depth, max(1, int(np.ceil(np.log2(max(2, total / shard_rows))))))
-    rows = fps.select("fp", F.xxhash64("fp").alias("o")).orderBy("o").limit(sample).collect()
+    depth = max(1, int(np.ceil(np.log2(max(2, total / shard_rows)))))
+    rows = fps.select("fp", F.xxhash64("fp").alias("o")).orderBy("o").limit(min(max(sample, 16 << depth), max_sample)).collect()
     trees = build_router(np.array([r.fp for r in rows], np.int64).view(np.uint64), blocks, depth)
     owner: dict[int, int] = {}
 
