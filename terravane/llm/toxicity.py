@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,73 +53,85 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(shift, size) + np.arange(total)
 
 
-@dataclass
 class Index:
-    """Block-max inverted index over unit vectors (term -> weight); row r is in block r // block."""
-
-    rows: list[dict[int, float]]
-    n_terms: int
-    block: int = 32
-    blocks: int = field(init=False)
-
-    def __post_init__(self):
-        self.blocks = max(1, -(-len(self.rows) // self.block))
-        row = np.repeat(np.arange(len(self.rows)), [len(v) for v in self.rows])
-        term = np.fromiter((t for v in self.rows for t in v), np.int64, len(row))
-        weight = np.fromiter((w for v in self.rows for w in v.values()), np.float64, len(row))
+    """Block-max inverted index over unit vectors, given as flat postings; row r is in block r // block.
+
+    The postings of the ``max_dense`` most frequent terms (if a fiftieth of the rows has them) are held as a dense
+    matrix, which a batch of texts multiplies at once; all others as runs per term and block with their maxima.
+    """
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, n_terms: int, block: int = 32, max_dense: int = 512):
+        self.n_rows, self.block, self.blocks = n_rows, block, max(1, -(-n_rows // block))
         order = np.lexsort((row, term))
-        term, self.row, self.weight = term[order], row[order].astype(np.int32), weight[order]
-        # an entry is the run of one term's postings in one block
-        own = self.row // self.block
+        row, term, weight = row[order], term[order], weight[order]
+        held = np.bincount(term, minlength=n_terms)
+        often = np.argsort(-held, kind="stable")[:max_dense]
+        often = often[held[often] * 50 > n_rows]
+        self.slot = np.full(n_terms, -1, np.int32)
+        self.slot[often] = np.arange(len(often))
+        own = self.slot[term]
+        self.dense = np.zeros((len(often), self.blocks * block))
+        self.dense[own[own >= 0], row[own >= 0]] = weight[own >= 0]
+        row, term, weight = row[own < 0], term[own < 0], weight[own < 0]
+        self.row, self.weight = row.astype(np.int32), weight
+        own = row // block
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
         at = np.flatnonzero(new)
         self.first = np.append(at, len(term))
         self.entry_block = own[at].astype(np.int32)
-        self.top = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
-        self.of_term = np.searchsorted(term[at], np.arange(self.n_terms + 1))
-        del self.rows
+        self.top = np.maximum.reduceat(weight, at) if len(at) else np.zeros(0)
+        self.of_term = np.searchsorted(term[at], np.arange(n_terms + 1))
 
-    def _cosines(self, entries: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    def _add(self, cos: np.ndarray, entries: np.ndarray, q: np.ndarray) -> None:
         a, z = self.first[entries], self.first[entries + 1]
         at = _ranges(a, z)
-        return np.bincount(self.row[at], np.repeat(q, z - a) * self.weight[at], n)
-
-    def nearest(self, vec: dict[int, float], k: int, n_rows: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest with a cosine over zero, best first, all that tie for the last place included."""
-        if not vec or not n_rows:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.fromiter(vec, np.int64, len(vec))
-        q = np.fromiter(vec.values(), np.float64, len(vec))
-        a, z = self.of_term[terms], self.of_term[terms + 1]
-        entries, q = _ranges(a, z), np.repeat(q, z - a)
-        own = self.entry_block[entries]
-        upper = np.bincount(own, q * self.top[entries], self.blocks)
-        lead = np.zeros(self.blocks, bool)
-        lead[np.argsort(-upper, kind="stable")[: -(-2 * k // self.block) + 1]] = True
-        hit = lead[own]
-        cos = self._cosines(entries[hit], q[hit], n_rows)
-        if skip >= 0:
-            cos[skip] = 0
-        bar = np.partition(cos, n_rows - k)[n_rows - k] if k < n_rows else 0.0
-        rest = ~lead & (upper >= bar - 1e-9) & (upper > 0)
-        if rest.any():
-            hit = rest[own]
-            cos += self._cosines(entries[hit], q[hit], n_rows)
-            if skip >= 0:
-                cos[skip] = 0
-            bar = np.partition(cos, n_rows - k)[n_rows - k] if k < n_rows else 0.0
-        cos = np.round(cos, 9)
-        found = np.flatnonzero((cos >= np.round(bar, 9)) & (cos > 0))
-        found = found[np.argsort(-cos[found], kind="stable")]
-        return found, cos[found]
+        cos += np.bincount(self.row[at], np.repeat(q, z - a) * self.weight[at], len(cos))
+
+    def _bar(self, cos: np.ndarray, k: int) -> float:
+        return float(np.partition(cos, len(cos) - k)[len(cos) - k]) if k < len(cos) else 0.0
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None):
+        """For each vector (terms, weights): rows and cosines of the k nearest with a cosine over zero, best first, all that tie
+        for the last place included; ``skip`` names a row of each that is left out."""
+        often = np.zeros((len(vectors), len(self.dense)))
+        for i, (terms, q) in enumerate(vectors):
+            slot = self.slot[terms]
+            often[i, slot[slot >= 0]] = q[slot >= 0]
+        often = often @ self.dense
+        for i, (terms, q) in enumerate(vectors):
+            cos, rare = often[i], self.slot[terms] < 0
+            a, z = self.of_term[terms[rare]], self.of_term[terms[rare] + 1]
+            entries, q = _ranges(a, z), np.repeat(q[rare], z - a)
+            if skip is not None:
+                cos[skip[i]] = -2.0
+            if len(entries):
+                own = self.entry_block[entries]
+                upper = np.bincount(own, q * self.top[entries], self.blocks)
+                bound = cos.reshape(self.blocks, self.block).max(1) + upper
+                lead = np.zeros(self.blocks, bool)
+                lead[np.argsort(-bound, kind="stable")[: -(-2 * k // self.block) + 1]] = True
+                hit = lead[own]
+                self._add(cos, entries[hit], q[hit])
+                # cosines without their rare terms are too low, so this bar is safe
+                rest = ~lead & (upper > 0) & (bound >= self._bar(cos, k) - 1e-9)
+                if rest.any():
+                    hit = rest[own]
+                    self._add(cos, entries[hit], q[hit])
+            bar = max(self._bar(cos, k), 1e-9)
+            found = np.flatnonzero(cos >= bar - 1e-9)
+            near = np.round(cos[found], 9)
+            keep = near >= np.round(bar, 9)
+            found, near = found[keep], near[keep]
+            order = np.argsort(-near, kind="stable")
+            yield found[order], near[order]
 
 
 @dataclass
 class Model:
     terms: dict[str, int]
     idf: np.ndarray  # weight of each term: idf times relevance
-    index: Index
+    index: Index | None
     labels: np.ndarray
     weights: np.ndarray
     doc_ids: list
@@ -128,31 +140,37 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(c)) * w for t, c in counts.items() if (w := self.idf[t]) > 0}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.idf[terms]
+        norm = math.sqrt(float(w @ w))
+        return terms, w / norm if norm else w
 
-    def counts(self, text: str | None) -> dict[int, int]:
+    def vector_of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         known = self.terms
-        return {known[w]: n for w, n in sorted(Counter(words(text)).items()) if w in known}
-
-    def votes(self, counts: dict[int, int], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """(share of toxic votes, rows and cosines of the nearest)."""
-        ids, cos = self.index.nearest(self.vector(counts), self.k, len(self.labels), skip)
-        part = np.ones(len(ids))
-        if len(ids) > self.k:
-            tied = cos == cos[-1]
-            part[tied] = (self.k - (~tied).sum()) / tied.sum()
-        w = part * cos * self.weights[ids]
-        return float((math.fsum(w * self.labels[ids]) + self.prior) / (math.fsum(w) + 1.0)), ids, cos
+        found = [(known[w], n) for w, n in Counter(words(text)).items() if w in known]
+        found.sort()
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return self.vector(both[:, 0], both[:, 1])
+
+    def votes(self, vectors: list, skip: list[int] | None = None):
+        """(share of toxic votes, rows and cosines of the nearest) of each vector."""
+        for ids, cos in self.index.nearest(vectors, self.k, skip):
+            part = np.ones(len(ids))
+            if len(ids) > self.k:
+                tied = cos == cos[-1]
+                part[tied] = (self.k - (~tied).sum()) / tied.sum()
+            w = part * cos * self.weights[ids]
+            yield float((math.fsum(w * self.labels[ids]) + self.prior) / (math.fsum(w) + 1.0)), ids, cos
 
     def calibrated(self, share: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * _logit(share) + self.shift))))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        share, ids, cos = self.votes(counts)
-        return self.calibrated(share), ids, cos
+    def score(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        out = []
+        for at in range(0, len(texts), 128):
+            found = self.votes([self.vector_of(t) for t in texts[at : at + 128]])
+            out += [(self.calibrated(share), ids, cos) for share, ids, cos in found]
+        return out
 
 
 def _logit(p: float) -> float:
@@ -201,7 +219,7 @@ def relevance(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return z2 / (z2 + 100) + 0.01
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 1500, max_neg: int = 3000, k: int = 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 800, max_neg: int = 1600, k: int = 15) -> Model:
     """Learn from the labelled rows that are not held out; count document frequencies over all of ``docs``."""
     ship(docs.sparkSession)
     picked, stands_for = labelled_set(labels, max_pos, max_neg)
@@ -217,8 +235,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 1500, max_neg: int =
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(counted, f"doc_id {kind}, toxic int, w array<string>, n array<int>").collect()
-    terms: dict[str, int] = {w: i for i, w in enumerate(sorted({w for r in rows for w in r.w}))}
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(counted, f"doc_id {kind}, toxic int, w array<string>, n array<int>").toArrow().combine_chunks()
+    toxic = np.array(rows["toxic"].to_pylist(), np.int64)
+    size = np.array([len(x) for x in rows["n"].to_pylist()], np.int64)
+    flat = [x.flatten() for c in ("w", "n") for x in [rows[c].combine_chunks()]]
+    coded = flat[0].dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    terms: dict[str, int] = {names[i]: k_ for k_, i in enumerate(order)}
+    term, count = place[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64), flat[1].to_numpy(zero_copy_only=False).astype(np.int64)
 
     def frequency(batches):
         df, n = Counter(), 0
@@ -228,28 +255,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 1500, max_neg: int =
                 n += 1
         yield pa.RecordBatch.from_pydict({"t": pa.array([-1, *(terms[w] for w in df)], pa.int32()), "n": pa.array([n, *df.values()], pa.int64())})
 
-    df = {r.t: r.n for r in docs.select("text").mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    total = df.get(-1, 0)
-    seen, n_of = np.zeros((2, len(terms))), [0, 0]
-    for r in rows:
-        seen[r.toxic, [terms[w] for w in r.w]] += 1
-        n_of[r.toxic] += 1
-    idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    model = Model(terms, idf * relevance(seen[1], seen[0], n_of[1], n_of[0]), Index([], len(terms)), np.zeros(0), np.zeros(0), [], 0.0, k)
-    own = [(model.vector({terms[w]: n for w, n in zip(r.w, r.n)}), r) for r in rows]
+    seen = docs.select("text").mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1)
+    df[seen["t"].to_numpy()] = seen["n"].to_numpy()  # -1, the last place, is the number of documents
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    row = np.repeat(np.arange(len(size)), size)
+    by_class = [np.bincount(term[toxic[row] == c], minlength=len(terms)) for c in (0, 1)]
+    weight = idf * relevance(by_class[1], by_class[0], int(toxic.sum()), int((toxic == 0).sum()))
+    model = Model(terms, weight, None, np.zeros(0), np.zeros(0), [], 0.0, k)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    vectors = [model.vector(term[a:z], count[a:z]) for a, z in zip(ends[:-1], ends[1:])]
     # rows with a like strongest term side by side make tight block maxima
-    lead = lambda v: max(v.items(), key=lambda x: (x[1], x[0])) if v else (-1, 0.0)
-    own.sort(key=lambda x: (x[1].toxic, lead(x[0]), str(x[1].doc_id), x[1].w))
-    model.index = Index([v for v, _ in own], len(terms))
-    model.labels = np.array([r.toxic for _, r in own], float)
-    model.weights = np.array([stands_for[r.toxic] for _, r in own], float)
-    model.doc_ids = [r.doc_id for _, r in own]
-    if own and model.weights.sum():
+    lead = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+    ids = rows["doc_id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (toxic[i], lead[i], str(ids[i]), vectors[i][0].tobytes()))
+    vectors = [vectors[i] for i in order]
+    join = lambda j, kind: np.concatenate([v[j] for v in vectors]) if vectors else np.zeros(0, kind)
+    model.index = Index(np.repeat(np.arange(len(order)), size[order] if order else size), join(0, np.int64), join(1, float), len(order), len(terms))
+    model.labels = toxic[order].astype(float) if order else np.zeros(0)
+    model.weights = np.array([stands_for[int(c)] for c in model.labels], float)
+    model.doc_ids = [ids[i] for i in order]
+    if order:
         model.prior = float((model.weights * model.labels).sum() / model.weights.sum())
-        if 0 < model.labels.sum() < len(own):
-            counts = [{terms[w]: n for w, n in zip(r.w, r.n)} for _, r in own]
-            shares = np.array([model.votes(c, skip=i)[0] for i, c in enumerate(counts)])
-            model.slope, model.shift = platt(shares, model.labels, model.weights)
+        if 0 < model.labels.sum() < len(order):
+            shares = [x[0] for at in range(0, len(order), 128) for x in model.votes(vectors[at : at + 128], list(range(at, min(at + 128, len(order)))))]
+            model.slope, model.shift = platt(np.array(shares), model.labels, model.weights)
     return model
 
 
@@ -262,7 +292,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", evidence: int
 
     def run(batches):
         for b in batches:
-            found = [model.score(model.counts(t)) for t in b.column(at).to_pylist()]
+            found = model.score(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     *b.columns,
