@@ -244,23 +244,42 @@ def _near(a, b):
     return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_line_dedup(spark, bound, monkeypatch):
-    rnd = random.Random(1)
-    line = lambda: " ".join(rnd.choice("abcdef") for _ in range(rnd.choice([3, 5, 6, 7, 8])))
-    rows = [(d, "\n".join(line() for _ in range(6)), "k") for d in range(60)]
-    rows += [(100, None, "k"), (101, "", "k"), (102, "  one two three four five \n\n one two three four five", "k"), (None, "one two three four five six", "k"), (103, "one two three four x", "k")]
-    places = [(d is None, d or 0, k, d, x.strip().split(" ")) for d, t, _ in rows for k, x in enumerate((t or "").split("\n")) if len(x.strip().split(" ")) >= 5]
+def _lines_left(rows):
+    """(doc_id, text left) by comparing every line with all earlier ones; and how many lines went."""
+    places = [(d is None, d or 0, k, d, x.strip(" \t\x0b\f\r").split(" ")) for d, t, _ in rows for k, x in enumerate((t or "").split("\n"))]
     gone, before = set(), []
-    for *_, k, d, w in sorted(places, key=lambda p: p[:3]):
-        if any(_near(w, x) for x in before):
+    for *_, k, d, w in sorted((p for p in places if p[-1] != [""]), key=lambda p: p[:3]):
+        if any(w == x or (len(w) >= 5 and len(x) >= 5 and _near(w, x)) for x in before):
             gone.add((d, k))
         before.append(w)
-    real = line_dedup.duplicate_lines
-    monkeypatch.setattr(line_dedup, "duplicate_lines", lambda docs, n: real(docs, n, bound))
-    got = line_dedup.dedup_lines(edge(spark, rows), report=True).collect()
-    assert {r.doc_id: r.text for r in got} == {d: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t, _ in rows}
-    assert sum(r.n_removed for r in got) == len(gone)
+    return {d: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t, _ in rows}, len(gone)
+
+
+def _line_rows():
+    rnd = random.Random(1)
+    line = lambda: " ".join(rnd.choice("abcdef") for _ in range(rnd.choice([1, 3, 4, 5, 6, 7, 8])))
+    rows = [(d, "\n".join(line() for _ in range(6)), "k") for d in range(60)]
+    return [*rows, (100, None, "k"), (101, "", "k"), (102, "  one two three four five \n\n one two three four five", "k"), (None, "one two three four five six", "k"), (103, "one two three four x", "k")]
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_line_dedup(spark, limit):
+    rows = _line_rows()
+    left, n = _lines_left(rows)
+    got = line_dedup.dedup_lines(edge(spark, rows), report=True, limit=limit).collect()
+    assert {r.doc_id: r.text for r in got} == left and sum(r.n_removed for r in got) == n
+    assert {r.doc_id: r.n_lines for r in got} == {d: len((t or "").split("\n")) for d, t, _ in rows}
+
+
+def test_line_dedup_of_text_ids_and_clashing_columns(spark):
+    rows = [(None if d is None else f"d{d:04}", t, k) for d, t, k in _line_rows()]
+    places = [((d is None, d or ""), t) for d, t, _ in rows]
+    assert len(set(places)) == len(rows)
+    numbered = {d: i for i, (d, *_) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or "")))}
+    left, _ = _lines_left([(numbered[d], t, k) for d, t, k in rows])
+    docs = spark.createDataFrame(rows, "doc_id string, text string, key string").selectExpr("*", "1 AS t", "2 AS _cut", "3 AS l1", "4 AS c0", "5 AS n_lines")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {d: left[numbered[d]] for d in numbered}
 
 
 def test_line_dedup_rows(spark):
@@ -285,25 +304,33 @@ def test_bpe(spark, chunk_bytes):
     assert bpe.encode(edge(spark, []), path, pattern).count() == 0
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("max_dense", [0, 6])
+def test_block_max_search_is_exact(max_dense):
     rnd = random.Random(8)
 
     def vec():
-        v = {t: rnd.random() for t in rnd.sample(range(30), rnd.randrange(1, 8))}
+        v = {t: rnd.choice([0.5, 1.0, rnd.random()]) for t in sorted(rnd.sample(range(30), rnd.randrange(1, 8)))}
         norm = sum(x * x for x in v.values()) ** 0.5
-        return {t: x / norm for t, x in v.items()}
-
-    index = toxicity.Index([vec() for _ in range(300)] + [{}], block=16)
-    for _ in range(50):
-        q = vec()
-        sims = [round(sum(w * r.get(t, 0) for t, w in q.items()), 9) for r in index.rows]
-        ids, got = index.nearest(q, 7)
-        want = sorted(((-s, i) for i, s in enumerate(sims) if s > 0))[:7]
-        assert np.allclose(got, [-s for s, _ in want], atol=1e-8) and len(ids) == len(want)
-    assert len(index.nearest({}, 5)[0]) == 0 and len(toxicity.Index([]).nearest({1: 1.0}, 5)[0]) == 0
-
-
-def test_toxicity(spark):
+        return np.array(list(v)), np.array([x / norm for x in v.values()])
+
+    rows = [vec() for _ in range(300)]
+    flat = lambda j: np.concatenate([v[j] for v in rows])
+    index = toxicity.Index(np.repeat(np.arange(300), [len(v[0]) for v in rows]), flat(0), flat(1), 301, 30, block=16, max_dense=max_dense)
+    dense = np.zeros((301, 30))
+    for i, (t, w) in enumerate(rows):
+        dense[i, t] = w
+    queries_ = [vec() for _ in range(60)] + [rows[5], (np.zeros(0, np.int64), np.zeros(0))]
+    skip = list(range(62))
+    for own in (None, skip):
+        for i, ((t, w), (ids, got)) in enumerate(zip(queries_, index.nearest(queries_, 7, own))):
+            cos = np.round(dense[:, t] @ w, 9)
+            if own:
+                cos[i] = 0
+            bar = max(np.sort(cos)[-7], 1e-9)
+            assert sorted(ids.tolist()) == np.flatnonzero(cos >= bar).tolist() and np.allclose(got, cos[ids], atol=2e-9)
+
+
+def _toxic_rows():
     rnd = random.Random(9)
     words = ["".join(rnd.choice("aeiou") + rnd.choice("lmnrst") for _ in range(3)) for _ in range(200)]
     rows, labels = [], []
@@ -313,14 +340,79 @@ def test_toxicity(spark):
         rnd.shuffle(text)
         rows.append((i, " ".join(text), ""))
         labels.append((i, int(bad)))
-    docs, labels = edge(spark, [*rows, (None, None, ""), (1000, "", "")]), spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    return rows, labels
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_toxicity(spark, kind):
+    rows, labels = _toxic_rows()
+    docs = edge(spark, [*rows, (None, None, ""), (1000, "", "")]).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("evidence_ids", F.lit(3))
+    labels = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int").withColumn("doc_id", F.col("doc_id").cast(kind))
     model = toxicity.fit(docs, labels)
-    got = toxicity.with_scores(docs.drop("score"), model).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()
+    got = toxicity.with_scores(docs, model).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()
     held = [r for r in got if r.held]
-    assert len(held) > 100 and all((r.score >= 0.3) == (r.doc_id % 5 == 0) for r in held) and all(0 <= r.score <= 1 for r in got)
+    assert len(held) > 100 and all((r.score >= 0.3) == (int(r.doc_id) % 5 == 0) for r in held) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if not r.text}) == 1
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and kept.count() == len(got) - sum(r.score >= 0.3 for r in got)
-    assert toxicity.with_scores(docs.drop("score"), toxicity.fit(docs, labels.limit(0))).filter("score > 0").count() == 0
+    assert {r.score for r in kept.collect()} == {"s"}
+    assert toxicity.with_scores(docs, toxicity.fit(docs, labels.limit(0))).filter("score > 0.51").count() == 0
+    assert toxicity.with_scores(docs.limit(0), model).count() == 0
+
+
+@needs_tables
+def test_toxicity_votes_match_brute_force(spark, docs, texts):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    import zlib
+
+    learnt = {d: y for d, y in known.items() if zlib.crc32(str(d).encode()) % 4 != 2 and d in texts}
+    assert sorted(model.doc_ids) == sorted(learnt)  # fewer than the bounds, so all of them
+    words = {d: collections.Counter(re.findall(r"[^\W_]+", t.lower())) for d, t in texts.items()}
+    n1, n0 = sum(learnt.values()), len(learnt) - sum(learnt.values())
+    pos, neg, df = collections.Counter(), collections.Counter(), collections.Counter(w for c in words.values() for w in c)
+    for d, y in learnt.items():
+        (pos if y else neg).update(set(words[d]))
+
+    def weight(w):
+        p = (pos[w] + neg[w]) / (n0 + n1)
+        z = max(0.0, (pos[w] / n1 - neg[w] / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-12))
+        return (np.log((1 + len(texts)) / (1 + df[w])) + 1) * (z * z / (z * z + 100) + 0.01)
+
+    terms = {w: i for i, w in enumerate(sorted({w for d in learnt for w in words[d]}))}
+    own = np.array([weight(w) for w in terms])
+
+    def vector(c):
+        v = np.zeros(len(terms))
+        for w, n in c.items():
+            if w in terms:
+                v[terms[w]] = (1 + np.log(n)) * own[terms[w]]
+        return v / (np.linalg.norm(v) or 1.0)
+
+    ids = list(learnt)
+    rows, y = np.array([vector(words[d]) for d in ids]), np.array([learnt[d] for d in ids], float)
+    got = {r.doc_id: r for r in toxicity.with_scores(docs.select("doc_id", "text"), model, evidence=1).collect()}
+    for d in sorted(texts):
+        cos = np.round(rows @ vector(words[d]), 9)
+        bar = max(np.sort(cos)[-15], 1e-9)
+        above, tied = cos > bar, cos == bar
+        part = above + tied * (min(1.0, (15 - above.sum()) / max(1, tied.sum())))
+        share = ((part * cos * y).sum() + n1 / (n0 + n1)) / ((part * cos).sum() + 1)
+        assert abs(got[d].score - model.calibrated(share)) < 1e-6
+        if cos.max() > 0:
+            assert abs(got[d].evidence_cosines[0] - cos.max()) < 1e-8
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the driver's tables")
+def test_toxicity_held_out_accuracy_and_calibration(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [(r.score, labels[r.doc_id]) for r in queries.op10_toxicity(spark, "/root/testdata/sf0.01").collect() if r.held_out and labels.get(r.doc_id) is not None]
+    pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    brier, base = np.mean([(s - y) ** 2 for s, y in held]), len(pos) * len(neg) / len(held) ** 2
+    print(f"held-out rows {len(held)}, AUC {auc:.3f}, Brier {brier:.4f}, of the base rate {base:.4f}")
+    assert auc > 0.85 and brier < 0.7 * base
 
 
 @needs_tables
