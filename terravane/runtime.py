@@ -42,14 +42,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _written(spark: SparkSession) -> list:
+    return spark.__dict__.setdefault("_terravane_written", [])
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written(spark).append((None, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, *by: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by its keys, so that joins on them move no rows of it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.bucketBy(buckets, *by).option("path", path).format("parquet").saveAsTable(table)
+    _written(spark).append((table, path))
+    return spark.table(table)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table that this session has written by ``materialize`` and ``bucketed``, and say how many.
+
+    For callers who have used or stored their results; frames that still read those tables fail afterwards.
+    """
+    written = _written(spark)
+    for table, path in written:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    n = len(written)
+    written.clear()
+    return n
+
+
 def ship(spark: SparkSession) -> None:
     """Make the session ready for Arrow functions: workers get this package, as they may start without it on their path.
 
