@@ -1,22 +1,25 @@
-"""Exact substring dedup over whole texts as bytes.
+"""Exact substring dedup over whole texts as bytes, by external induced sorting of shards.
 
 A byte goes if it lies in a ``length``-byte string that starts at another place too, in any document.
 
-Shards. Every ``length``-byte window is named by its least k-gram hash (leftmost on ties), the anchor;
-equal windows have equal anchors at equal offsets. Consecutive windows share their anchor, so a text
-becomes about one segment per length / 2 bytes: the bytes of all windows of one anchor. Equal segments are
-counted by a 128-bit hash; where a segment repeats, all its windows do. Where one anchor has several
-different segments, one copy of each goes to the anchor's shard, and there the suffixes are sorted up to
-``length`` bytes by prefix doubling; neighbours that agree mark the repeated windows. An anchor so common that its
-segments exceed a shard is searched one window offset at a time instead. Nothing is sampled: the anchors only
-say which windows must meet.
+Shards. No order of all suffixes of a corpus is needed, only that of suffixes that may share ``length`` bytes, so
+these are dealt first. Every ``length``-byte window is named by its least k-gram hash (leftmost on ties), the
+anchor; equal windows have equal anchors at equal offsets. Consecutive windows share their anchor, so a text becomes
+about one segment per length / 2 bytes: the bytes of all windows of one anchor. Equal segments are counted by a
+128-bit hash; where a segment repeats, all its windows do. Where one anchor has several different segments, one copy
+of each goes to the anchor's shard. There ``induced`` sorts all suffixes, shard after shard of about ``shard_bytes``,
+by external induced sorting with common-prefix values: a window repeats if its suffix has ``length`` bytes in common
+with a neighbour. Nothing is sampled: the anchors only say which suffixes must meet.
+
+Hot anchors. An anchor whose segments exceed ``hot_bytes`` would fill a task. Its windows are named by their 128-bit
+hash instead and counted with map-side aggregation, so they spread over all tasks.
 
 Sides. A window has at least half of its bytes beside the anchor on one side, so segments that share a window have
 equal bytes on that side, too. A segment whose left and right sides are both its own shares no window with another
 and does not go to a shard. Sides are compared by hash; equal hashes only let more through.
 
-Texts are collapsed by a 128-bit hash and kept in a table bucketed by it, so later joins move ranges, not
-texts. Groups are aggregated on the map side before each shuffle.
+Texts are collapsed by a 128-bit hash, on the map side first, and kept in a table bucketed by it, so later joins move
+ranges, not texts. ``runtime.release`` drops the tables when the result has been used.
 
 Rows: null texts are empty. Repeated rows are copies and repeat each other. Texts under ``length`` bytes
 have no window. Other columns are not read.
@@ -25,15 +28,14 @@ have no window. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.suffixes import first_ranks, refine
-from terravane.runtime import materialize, shared_dir, ship
+from terravane.llm.induced import repeated_places
+from terravane.runtime import bucketed, materialize, shared_dir, ship
 
 LENGTH, GRAM = 400, 16
 
@@ -75,49 +77,17 @@ def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np
     return first, last, place[first], best[first].astype(np.int64)
 
 
-def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+def repeated_windows(segments: list[bytes], length: int = LENGTH, **sort) -> list[np.ndarray]:
     """Window starts of each segment whose ``length`` bytes are found elsewhere in the list, too."""
     sizes = np.array([len(s) for s in segments], np.int64)
-    raw = np.frombuffer(b"".join(segments) + bytes(8), np.uint8)
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    rank, active = first_ranks(_words(raw, ">").astype(np.uint64)[: bounds[-1]])
-    h = 8
-    while h < length and len(active):
-        step = min(h, length - h)
-        rank, active = refine(rank, active, step, None)
-        h += step
+    ends = np.cumsum(sizes + 1)
+    starts = ends - sizes - 1
+    found = repeated_places(np.frombuffer(b"\xff".join([*segments, b""]), np.uint8), length, **sort)
     # only places whose window ends inside its segment are windows
-    seg = np.repeat(np.arange(len(segments)), sizes)
-    ok = np.flatnonzero(np.arange(bounds[-1]) + length <= bounds[seg + 1])
-    r = rank[ok]
-    values, inverse, counts = np.unique(r, return_inverse=True, return_counts=True)
-    if h < length:
-        counts[:] = 1
-    hit = ok[counts[inverse] > 1]
-    cut = np.searchsorted(hit, bounds)
-    return [hit[a:b] - s for a, b, s in zip(cut[:-1], cut[1:], bounds[:-1])]
-
-
-def repeated_windows_of_anchor(segments: list[bytes], heads: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """As repeated_windows, for segments of one anchor at the places ``heads``, one window offset after the other.
-
-    Equal windows hold the anchor at the same offset, so an offset's windows only need each other; memory is
-    that of the segments and one digest for each of them.
-    """
-    found: list[list[int]] = [[] for _ in segments]
-    views, sizes = list(map(memoryview, segments)), [len(s) - length for s in segments]
-    for ahead in range(max(heads) + 1):
-        names: dict[bytes, int] = {}
-        for k, (v, head, last) in enumerate(zip(views, heads, sizes)):
-            at = head - ahead
-            if 0 <= at <= last:
-                first = names.setdefault(hashlib.md5(v[at : at + length], usedforsecurity=False).digest(), k)
-                if first != k:
-                    found[k].append(at)
-                    at = heads[first] - ahead
-                    if not found[first] or found[first][-1] != at:
-                        found[first].append(at)
-    return [np.array(sorted(f), np.int64) for f in found]
+    out = []
+    for a, n in zip(starts.tolist(), sizes.tolist()):
+        out.append(np.flatnonzero(found[a : a + max(0, n - length + 1)]))
+    return out
 
 
 def _runs(starts: np.ndarray) -> list[int]:
@@ -169,48 +139,57 @@ def _segments(length: int):
     return run
 
 
-def _shard(length: int, shard_bytes: int):
+def _shard(length: int, shard_bytes: int, spill: str):
     """Rows sorted by anchor; whole anchors are sorted together, some shard_bytes at a time."""
     schema = pa.schema([("h", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("runs", pa.list_(pa.int32()))])
 
     def flush(held):
-        segments = [x[3] for x in held]
-        if held[0][0] == held[-1][0] and sum(map(len, segments)) > 2 * shard_bytes:
-            # one very common anchor; its place is that of the least hash in the first window
-            found = repeated_windows_of_anchor(segments, [int(anchors(np.frombuffer(x, np.uint8), length)[2][0]) for x in segments], length)
-        else:
-            found = repeated_windows(segments, length)
-        runs = [_runs(f) for f in found]
+        runs = [_runs(f) for f in repeated_windows([x[3] for x in held], length, spill=spill)]
         return pa.RecordBatch.from_arrays(
             [pa.array([x[k] for x in held], pa.int64()) for k in range(3)] + [pa.array(runs, pa.list_(pa.int32()))], schema=schema
         )
 
     def run(batches):
-        held, start, last = [], 0, None  # rows waiting, and where the last anchor's begin
-
-        def settle(done):
-            nonlocal held
-            own = sum(len(x[3]) for x in held[start:])
-            if own > 2 * shard_bytes and start:  # an anchor that fills a shard is searched alone
-                yield flush(held[:start])
-                held = held[start:]
-            if held and (done or own > 2 * shard_bytes or sum(len(x[3]) for x in held) >= shard_bytes):
-                yield flush(held)
-                held = []
-
+        held, size = [], 0
         for b in batches:
             for row in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if row[0] != last:
-                    yield from settle(False)
-                    start, last = len(held), row[0]
+                if held and row[0] != held[-1][0] and size >= shard_bytes:
+                    yield flush(held)
+                    held, size = [], 0
                 elif held and row[:3] == held[-1][:3]:
                     continue
                 held.append(row)
-        yield from settle(True)
+                size += len(row[3])
+        if held:
+            yield flush(held)
 
     return run
 
 
+def _wanted(texts: DataFrame, wanted: DataFrame, rows, schema: str) -> DataFrame:
+    """What ``rows(segment)`` gives for each wanted segment (t1, t2, lo, hi, h); texts are read once."""
+    want = wanted.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi", "h")).alias("want"))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        held: list = []
+        for b in batches:
+            for raw, own in zip(b.column(0).cast(pa.large_binary()).to_pylist(), b.column(1).to_pylist()):
+                for x in own:
+                    held += rows(raw, x)
+                    if len(held) >= 5000:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*held))), names)
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*held))), names)
+
+    return texts.join(want, ["t1", "t2"]).select("text", "want").mapInArrow(run, schema)
+
+
+def _name(segment) -> tuple[int, int]:
+    return tuple(np.frombuffer(hashlib.md5(segment, usedforsecurity=False).digest(), np.int64).tolist())
+
+
 def _cut(length: int):
     def run(batches):
         for b in batches:
@@ -246,18 +225,16 @@ def _names(text):
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
 
 
-def duplicate_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = None, shard_bytes: int = 1 << 20) -> DataFrame:
+def duplicate_spans(
+    docs: DataFrame, length: int = LENGTH, shard_bytes: int = 4 << 20, hot_bytes: int = 4 << 20, broadcast_rows: int = 200_000
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_sha256) of every row; spans are flat (from, to) byte offsets."""
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce("text", F.lit(""))
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(*_names(text), text.alias("text"))
-    distinct = named.repartition(buckets, "t1", "t2").groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    table = f"texts_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{table}"
-    distinct.write.bucketBy(buckets, "t1", "t2").option("path", path).format("parquet").saveAsTable(table)
-    texts = spark.table(table)
+    distinct = named.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = bucketed(distinct, "texts", int(spark.conf.get("spark.sql.shuffle.partitions")), "t1", "t2")
 
     segments = materialize(texts.select("t1", "t2", "text").mapInArrow(_segments(length), _SEGMENT), "segments")
     kinds = materialize(
@@ -267,28 +244,37 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None =
     beside = [kinds.filter(F.col(c).isNotNull()).select(F.col(c).alias("side"), "t1", "t2", "lo", "hi", "h") for c in ("left", "right")]
     beside = beside[0].unionByName(beside[1])
     several = beside.groupBy("side").agg(F.count("*").alias("c")).filter("c > 1").select("side")
-    wanted = beside.join(several, "side", "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi", "h")).alias("want"))
-
-    def content(batches):
-        schema = pa.schema([("h", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("bytes", pa.binary())])
-        for b in batches:
-            out = [[] for _ in range(4)]
-            for raw, want in zip(b.column(0).cast(pa.large_binary()).to_pylist(), b.column(1).to_pylist()):
-                for x in want:
-                    segment = raw[x["lo"] : x["hi"] + length]
-                    g = np.frombuffer(hashlib.md5(segment, usedforsecurity=False).digest(), np.int64)
-                    for k, v in enumerate((x["h"], g[0], g[1], segment)):
-                        out[k].append(v)
-                    if len(out[0]) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, schema.types)], schema=schema)
-                        out = [[] for _ in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, schema.types)], schema=schema)
-
-    bytes_ = texts.join(wanted, ["t1", "t2"]).select("text", "want").mapInArrow(content, "h long, g1 long, g2 long, bytes binary")
-    sorted_ = bytes_.repartition("h").sortWithinPartitions("h", "g1", "g2")
-    runs = sorted_.mapInArrow(_shard(length, shard_bytes), "h long, g1 long, g2 long, runs array<int>").filter(F.size("runs") > 0)
-    whole = kinds.filter("n > 1").select("h", "g1", "g2", F.array(F.lit(0), F.col("hi") - F.col("lo")).alias("runs"), F.lit(1).alias("p"))
-    part = runs.join(kinds.filter("n > 1").select("h", "g1", "g2"), ["h", "g1", "g2"], "left_anti").withColumn("p", F.lit(0))
+    wanted = materialize(beside.join(several, "side", "left_semi").drop("side").distinct(), "wanted")
+    hot = wanted.groupBy("h").agg(F.sum(F.col("hi") - F.col("lo") + length).alias("b")).filter(F.col("b") > hot_bytes).select("h")
+    hot = materialize(hot, "hot")
+    n_hot = hot.count()
+    if n_hot:
+        few = F.broadcast(hot) if n_hot <= broadcast_rows else hot
+        cold, often = wanted.join(few, "h", "left_anti"), wanted.join(few, "h", "left_semi")
+    else:
+        cold, often = wanted, None
+
+    def segment(raw, x):
+        own = raw[x["lo"] : x["hi"] + length]
+        return [(x["h"], *_name(own), own)]
+
+    sorted_ = _wanted(texts, cold, segment, "h long, g1 long, g2 long, bytes binary").repartition("h").sortWithinPartitions("h", "g1", "g2")
+    runs = sorted_.mapInArrow(_shard(length, shard_bytes, shared_dir(spark)), "h long, g1 long, g2 long, runs array<int>").filter(F.size("runs") > 0)
+    if often is not None:
+
+        def windows(raw, x):
+            own = memoryview(raw)[x["lo"] : x["hi"] + length]
+            name = (x["h"], *_name(own))
+            return [(*name, k, *_name(own[k : k + length])) for k in range(x["hi"] - x["lo"] + 1)]
+
+        each = materialize(_wanted(texts, often, windows, "h long, g1 long, g2 long, p long, d1 long, d2 long"), "hot-windows")
+        twice = materialize(each.groupBy("d1", "d2").agg(F.count("*").alias("c")).filter("c > 1").select("d1", "d2"), "hot-twice")
+        twice = F.broadcast(twice) if twice.count() <= broadcast_rows else twice
+        met = each.join(twice, ["d1", "d2"], "left_semi").withColumn("p", F.col("p").cast("int"))
+        met = met.groupBy("h", "g1", "g2").agg(F.flatten(F.collect_set(F.array("p", "p"))).alias("runs"))
+        runs = runs.unionByName(met)
+    whole = kinds.filter("n > 1").select("h", "g1", "g2", F.array(F.lit(0), F.col("hi") - F.col("lo")).alias("runs"))
+    part = runs.join(kinds.filter("n > 1").select("h", "g1", "g2"), ["h", "g1", "g2"], "left_anti")
     hits = whole.unionByName(part).select("h", "g1", "g2", "runs")
     ranges = segments.join(hits, ["h", "g1", "g2"]).select("t1", "t2", F.transform("runs", lambda x: x + F.col("lo")).alias("r"))
     ranges = ranges.groupBy("t1", "t2").agg(F.flatten(F.collect_list("r")).alias("ranges"))

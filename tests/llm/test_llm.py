@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terravane.llm import bpe, decontaminate, html_extract, line_dedup, quality, queries, sharding, simhash, suffix_dedup, toxicity, url_filter
+from terravane.llm import bpe, decontaminate, html_extract, induced, line_dedup, quality, queries, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
@@ -175,35 +175,42 @@ def _spans(data: list[bytes], length: int):
         yield len(t), int(cover.sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~cover])).hexdigest()
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 64])
-def test_suffix_dedup(spark, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "hot_bytes"), [(1 << 20, 1 << 20), (64, 1 << 20), (64, 150), (64, 0)])
+def test_suffix_dedup(spark, shard_bytes, hot_bytes):
     rnd = random.Random(4)
     part = ["".join(rnd.choice("abé ") for _ in range(rnd.randrange(20, 90))) for _ in range(12)]
     rows = [(i, "".join(rnd.choice(part) if rnd.random() < 0.6 else rnd.choice("xyz") * rnd.randrange(1, 60) for _ in range(6)), "k") for i in range(60)]
     rows += [(99, None, "k"), (99, "", "k"), (100, rows[0][1], "k"), (None, "q" * 200, "k")]
-    found = suffix_dedup.duplicate_spans(edge(spark, rows), length=40, buckets=4, shard_bytes=shard_bytes)
+    found = suffix_dedup.duplicate_spans(edge(spark, rows), length=40, shard_bytes=shard_bytes, hot_bytes=hot_bytes)
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in found.collect())
     want = sorted((str(d), *x) for (d, *_), x in zip(rows, _spans([(t or "").encode() for _, t, _ in rows], 40)))
     assert got == want
 
 
-def test_common_anchor_agrees_with_sorting():
-    rnd = random.Random(11)
-    core = bytes(rnd.randrange(97, 123) for _ in range(60))
-    texts = [bytes(rnd.randrange(97, 100) for _ in range(rnd.randrange(30, 60))) + core + bytes(rnd.randrange(97, 100) for _ in range(rnd.randrange(30, 60))) for _ in range(40)]
-    groups = {}
-    for t in texts:
-        for lo, hi, place, h in zip(*suffix_dedup.anchors(np.frombuffer(t, np.uint8), 40)):
-            groups.setdefault(h, set()).add((t[lo : hi + 40], place - lo))
-    assert max(map(len, groups.values())) > 5
-    for g in groups.values():
-        segments, heads = map(list, zip(*sorted(g)))
-        a, b = suffix_dedup.repeated_windows(segments, 40), suffix_dedup.repeated_windows_of_anchor(segments, heads, 40)
-        assert [x.tolist() for x in a] == [x.tolist() for x in b]
+@needs_tables
+def test_suffix_dedup_over_whole_tables(spark, texts):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in queries.op6_suffix_dedup(spark, SF).collect()}
+    ids = sorted(texts)
+    assert got == dict(zip(ids, _spans([texts[d].encode() for d in ids], 400)))
+
+
+@pytest.mark.parametrize(("base", "queue_bytes"), [(1 << 20, 1 << 20), (1, 1 << 20), (3, 64)])
+def test_induced_sorting_finds_repeats(tmp_path, base, queue_bytes):
+    """Small alphabets, runs, zero bytes; recursion from one name up and queues that go to disk at 64 bytes."""
+    rnd = random.Random(base + queue_bytes)
+    for _ in range(250):
+        part = [bytes(rnd.choice([0, 97, 98, 99, 254][: rnd.randrange(1, 6)]) for _ in range(rnd.randrange(1, 30))) for _ in range(4)]
+        text = b"".join(rnd.choice(part) * rnd.randrange(1, 3) + b"\xff" for _ in range(rnd.randrange(1, 9)))
+        cap = rnd.choice([2, 3, 5, 9, 17])
+        count = collections.Counter(text[i : i + cap] for i in range(len(text) - cap + 1))
+        want = [i + cap <= len(text) and count[text[i : i + cap]] > 1 for i in range(len(text))]
+        got = induced.repeated_places(np.frombuffer(text, np.uint8), cap, base=base, queue_bytes=queue_bytes, spill=str(tmp_path))
+        assert got.tolist() == want
+    assert not list(tmp_path.iterdir())  # what was written is gone
 
 
 def test_suffix_dedup_empty(spark):
-    assert suffix_dedup.duplicate_spans(edge(spark, []), buckets=2).count() == 0
+    assert suffix_dedup.duplicate_spans(edge(spark, [])).count() == 0
 
 
 def _brute_repeat(words, least):
