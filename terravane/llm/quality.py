@@ -7,6 +7,10 @@ that order give the longest-common-prefix intervals, that is, the maximal repeat
 words or if one of them has more than ``max_longest`` words. Texts of a batch are sorted together under
 keys that hold the text's number, so that no repeat crosses texts.
 
+Thresholds. The base rule catches most repetition. Of the 8,884 texts of the sf0.1 tables that pass it, 12 have over 5
+percent of their words covered, 6 over 10, one over 20 and none a repeat of more than 13 words; texts that the labels
+call good reach 18 percent. So a fifth of the words, or a paragraph of 100 words said twice, is too much.
+
 Rows: null and empty texts have no words and fail the base rules. Other columns are not read; repeated
 rows are judged alike.
 """
@@ -114,7 +118,7 @@ def _judge(texts: list[str | None], min_words: int, min_repeat: int, max_covered
 
 
 def judge(
-    docs: DataFrame, min_words: int = 50, min_repeat: int = 10, max_covered: float = 0.3, max_longest: int = 250, batch_bytes: int = 2 << 20
+    docs: DataFrame, min_words: int = 50, min_repeat: int = 10, max_covered: float = 0.2, max_longest: int = 100, batch_bytes: int = 2 << 20
 ) -> DataFrame:
     """Measures and verdict of every row of ``docs`` (doc_id, text). batch_bytes bounds the texts sorted at once."""
     ship(docs.sparkSession)

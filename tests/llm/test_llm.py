@@ -241,6 +241,10 @@ def test_quality_rows(spark):
     other = " ".join(f"v{k}" for k in range(100))
     got = {r.doc_id: r for r in quality.judge(edge(spark, [(1, f"{passage} {other} {passage}", ""), (2, other, ""), (3, "#a <b>\n#a <b>\n \n \n" + other, "")])).collect()}
     assert (got[1].covered_words, got[1].longest_repeat, got[1].base_failed, got[1].kept) == (80, 40, False, False) and got[2].kept
+    long, rest = [f"p{k}" for k in range(101)], [f"r{k}" for k in range(1000)]
+    rows = [(1, " ".join(long + rest + long), ""), (2, " ".join(long[1:] + rest + long[1:]), "")]  # under a fifth is covered
+    got_long = {r.doc_id: r for r in quality.judge(edge(spark, rows)).collect()}
+    assert [(got_long[k].longest_repeat, got_long[k].base_failed, got_long[k].kept) for k in (1, 2)] == [(101, False, False), (100, False, True)]
     assert (got[3].n_symbols, got[3].n_dup_lines, got[3].word_chars) == (6, 1, 10 + len(other.replace(" ", "")))
 
 
@@ -309,6 +313,8 @@ def test_bpe(spark, chunk_bytes):
     got = bpe.decode(bpe.encode(edge(spark, rows), path, pattern, chunk_bytes=chunk_bytes), path).collect()
     assert sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in got) == sorted((str(d), enc.encode_ordinary(t or ""), (t or "").encode()) for d, t, _ in rows)
     assert bpe.encode(edge(spark, []), path, pattern).count() == 0
+    again = bpe.decode(bpe.encode(edge(spark, rows), path, pattern).withColumn("decoded", F.lit("x")), path)
+    assert again.columns == ["doc_id", "ids", "decoded"] and {bytes(r.decoded) for r in again.collect()} == {(t or "").encode() for _, t, _ in rows}
 
 
 @pytest.mark.parametrize("max_dense", [0, 6])
