@@ -100,7 +100,7 @@ def _unpack_words(packed: bytes) -> list[bytes]:
 
 
 def encode(
-    docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = 24 << 20, buckets: int | None = None
+    docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = 10 << 20, buckets: int | None = None
 ) -> DataFrame:
     """(key, ids) of every row of ``docs``; ``vocabulary`` is the path of a .tiktoken ranks file, read on the driver.
 
@@ -201,8 +201,9 @@ def encode(
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes of its ids; a null list decodes to null, an unknown id is an error."""
+    """``encoded`` with the bytes of its ids; a null list decodes to null, an unknown id is an error. A column ``out`` is replaced."""
     ship(encoded.sparkSession)
+    encoded = encoded.drop(out)
     ranks = load_ranks(vocabulary)
     table = [None] * (max(ranks.values()) + 1)
     for b, i in ranks.items():
