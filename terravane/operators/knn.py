@@ -1,9 +1,9 @@
 """Nearest-neighbour joins J05-J07, J11 and the epsilon join J12.
 
-Targets whose counted rows are under ``broadcast_rows`` are broadcast to the bins of a lon/lat lattice, not to the
-cells: a bin keeps the targets that can be nearest to a point in it, which are those no farther from its centre than
-the nearest one plus its diagonal, and cells meet them by bin. Beyond that both sides are binned and joined on bins:
-a cell looks at growing square rings of bins until its best distance is within what the ring guarantees.
+Cells and targets are laid on one lon/lat lattice, and the pairs of a cell's bin and the target bins that can hold its
+nearest target are found from coarse to fine: each level joins the children of the pairs that are left and drops a
+target bin that is farther than another one can at most be. So a bin meets a handful of bins, whatever the number of
+targets, by equi-joins only; no side has to be small. Cells then meet the targets of their bin's candidates.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terravane.functions import geo
-from terravane.runtime import materialize
 
-BROADCAST_ROWS = 50_000
+SHIFT = 3  # a level's bins are 2**SHIFT times as wide as those of the one below
 
 
 def _distances(points_only: bool) -> tuple[Column, Column]:
@@ -36,10 +35,17 @@ def _bin(c: Column, size: float) -> Column:
     return F.floor(c / size)
 
 
-def _target_bins(targets: DataFrame, size: float) -> DataFrame:
-    """Every bin that a target's box touches."""
-    spread = lambda a, b: F.sequence(_bin(F.least(a, b), size), _bin(F.greatest(a, b), size))
-    return targets.withColumn("bx", F.explode(spread(F.col("x1"), F.col("x2")))).withColumn("by", F.explode(spread(F.col("y1"), F.col("y2"))))
+def _segment_bins(targets: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
+    """``targets`` with (bx, by) of every bin within ``grow`` of the segment: column by column, the rows it passes there."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    slack = grow + 1e-9
+    spread = lambda lo, hi: F.explode(F.sequence(_bin(lo - slack, size), _bin(hi + slack, size)))
+    left, right = F.least(x1, x2), F.greatest(x1, x2)
+    rows = targets.withColumn("bx", spread(left, right))
+    inside = lambda x: F.greatest(left, F.least(right, x))
+    y_at = lambda x: y1 + (inside(x) - x1) / F.when(x1 == x2, None).otherwise(x2 - x1) * (y2 - y1)
+    a, b = F.coalesce(y_at(F.col("bx") * size - slack), y1), F.coalesce(y_at((F.col("bx") + 1) * size + slack), y2)
+    return rows.withColumn("by", spread(F.least(a, b), F.greatest(a, b)))
 
 
 def _best(pairs: DataFrame, points: bool, by: list[str]) -> DataFrame:
@@ -48,81 +54,76 @@ def _best(pairs: DataFrame, points: bool, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.min(s).alias("best"))
 
 
-def nearest(cells: DataFrame, targets: DataFrame, broadcast_rows: int = BROADCAST_ROWS, bin_deg: float = 0.5, groups: bool = False) -> DataFrame:
+def _bin_size(targets: DataFrame) -> float:
+    """Bins of about two targets each, from their count and extent."""
+    r = targets.agg(F.count("*").alias("n"), *(f(F.col(c)).alias(f"{c}{k}") for c in ("x1", "y1") for k, f in enumerate((F.min, F.max)))).first()
+    if not r.n:
+        return 1.0
+    return min(4.0, max(0.02, 1.5 * (max(r.x11 - r.x10, 0.02) * max(r.y11 - r.y10, 0.02) / r.n) ** 0.5))
+
+
+def nearest(cells: DataFrame, targets: DataFrame, bin_deg: float | None = None, groups: bool = False) -> DataFrame:
     """(cell_id[, grp], best{deg, km, target_id}): the nearest target of each cell; with ``groups`` a row for each group
     of the cell's candidates, the nearest group and the next one (if there is one) always among them.
 
     Cells are (cell_id, lon, lat). Order is by planar degrees, then km, then id; no row for an empty target table.
     """
-    cells = cells.select("cell_id", "lon", "lat")
     targets, points = _targets(targets)
-    if targets.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        binned = cells.withColumns({"bx": _bin(F.col("lon"), bin_deg), "by": _bin(F.col("lat"), bin_deg)})
-        pairs = binned.join(_candidates(binned, targets, bin_deg, groups), ["bx", "by"])
-        return _best(pairs, points, ["cell_id", "grp"] if groups else ["cell_id"])
-    return (_grouped_rings if groups else _rings)(cells, targets, points, bin_deg)
+    size = bin_deg or _bin_size(targets)
+    binned = cells.select("cell_id", "lon", "lat", _bin(F.col("lon"), size).alias("bx"), _bin(F.col("lat"), size).alias("by"))
+    pairs = binned.join(_candidates(binned, targets, size, groups), ["bx", "by"])
+    return _best(pairs, points, ["cell_id", "grp"] if groups else ["cell_id"])
 
 
-def _candidates(cells: DataFrame, targets: DataFrame, size: float, groups: bool) -> DataFrame:
-    """(bx, by, target...): for each bin that holds cells, the targets that can be first (or first of the second group).
+def _pruned(pairs: DataFrame, by: list[str], low: Column, high: Column, groups: bool) -> DataFrame:
+    """Pairs whose least distance is within the greatest distance of the best one (with groups: of the best one of a second group)."""
+    w, pairs = Window.partitionBy(*by), pairs.withColumn("_high", high)
+    if not groups:
+        pairs = pairs.withColumn("_reach", F.min("_high").over(w))
+    else:
+        pairs = pairs.withColumn("_first", F.min(F.struct("_high", "grp")).over(w))
+        other = F.when(~F.col("grp").eqNullSafe(F.col("_first.grp")), F.col("_high"))
+        pairs = pairs.withColumn("_reach", F.coalesce(F.min(other).over(w), F.col("_first._high"))).drop("_first")
+    return pairs.filter(low <= F.col("_reach") * (1 + 1e-9) + 1e-9).drop("_high", "_reach")
 
-    A point lies within half a diagonal of its bin's centre, so distances from it and from the centre differ by at most that.
-    """
-    keys = ["bx", "by"]
-    # a fixed number of partitions: the bins are few bytes but much work each
-    bins = cells.select(*keys).distinct().repartition(cells.sparkSession.sparkContext.defaultParallelism, *keys)
-    centre = [(F.col(k) + 0.5) * size for k in keys]
-    distance = geo.segment_distance(*centre, *(F.col(c) for c in ("x1", "y1", "x2", "y2")))[0]
-    away = bins.join(F.broadcast(targets)).withColumn("away", distance)
+
+def _candidates(cells: DataFrame, targets: DataFrame, size: float, groups: bool) -> DataFrame:
+    """(bx, by, target...): for each bin that holds cells, the targets that can be first (or first of the second group)."""
+    laid = _segment_bins(targets, size).withColumnsRenamed({"bx": "tx", "by": "ty"})
+    own = ["grp"] if groups else []
+    at = cells.select("bx", "by").distinct()
+    to = laid.select("tx", "ty", *own).distinct()
+    levels = 0
+    while size * (1 << SHIFT * levels) < 180:
+        levels += 1
+    coarse = lambda df, names, k, *keep: df.select(*(F.shiftright(c, SHIFT * k).alias(c) for c in names), *keep).distinct()
+    # at the top the whole world has a dozen bins
+    pairs = coarse(at, ("bx", "by"), levels).withColumn("one", F.lit(1)).join(coarse(to, ("tx", "ty"), levels, *own).withColumn("one", F.lit(1)), "one").drop("one")
+    for k in range(levels - 1, -1, -1):
+        up = lambda names: [F.shiftright(c, SHIFT).alias(f"{c}_up") for c in names]
+        pairs = pairs.withColumnsRenamed({c: f"{c}_up" for c in ("bx", "by", "tx", "ty")})
+        fine_at = coarse(at, ("bx", "by"), k) if k else at
+        fine_to = coarse(to, ("tx", "ty"), k, *own) if k else to
+        fine_to = fine_to.select(*up(("tx", "ty")), "tx", "ty", *(F.col(g).alias("grp_to") for g in own))
+        met = pairs.join(fine_at.select("*", *up(("bx", "by"))), ["bx_up", "by_up"])
+        met = met.join(fine_to, ["tx_up", "ty_up"])
+        if groups:
+            met = met.filter(F.col("grp").eqNullSafe(F.col("grp_to")))
+        met = met.select("bx", "by", "tx", "ty", *own)
+        side = size * (1 << SHIFT * k)
+        dx, dy = F.abs(F.col("bx") - F.col("tx")), F.abs(F.col("by") - F.col("ty"))
+        gap = lambda d: F.greatest(d - 1, F.lit(0))
+        low, high = F.sqrt(gap(dx) * gap(dx) + gap(dy) * gap(dy)) * side, F.sqrt((dx + 1) * (dx + 1) + (dy + 1) * (dy + 1)) * side
+        pairs = _pruned(met, ["bx", "by"], low, high, groups)
+    met = pairs.withColumnsRenamed({g: "grp_at" for g in own}).join(laid, ["tx", "ty"])
     if groups:
-        first = away.groupBy(*keys, "grp").agg(F.min("away").alias("away"))
-        reach = first.groupBy(*keys).agg(F.array_sort(F.collect_list("away")).alias("by_group")).select(*keys, F.coalesce(F.get("by_group", F.lit(1)), F.get("by_group", F.lit(0))).alias("reach"))
-    else:
-        reach = away.groupBy(*keys).agg(F.min("away").alias("reach"))
-    slack = size * 2**0.5 * (1 + 1e-6) + 1e-9
-    return reach.join(F.broadcast(targets), distance <= F.col("reach") + slack).drop("reach")
-
-
-def _ring(cells: DataFrame, binned: DataFrame, r: int, size: float) -> DataFrame:
-    around = F.sequence(F.lit(-r), F.lit(r))
-    at = cells.withColumn("bx", F.explode(F.transform(around, lambda d: _bin(F.col("lon"), size) + d)))
-    return at.withColumn("by", F.explode(F.transform(around, lambda d: _bin(F.col("lat"), size) + d))).join(binned, ["bx", "by"])
-
-
-def _rings(cells: DataFrame, targets: DataFrame, points: bool, size: float) -> DataFrame:
-    binned = materialize(_target_bins(targets, size), "bins")
-    open_, out, r = cells, None, 1
-    while True:
-        wide = r * size
-        found = _best(_ring(open_, binned, r, size), points, ["cell_id"])
-        state = materialize(open_.join(found, "cell_id", "left"), "ring")
-        settled = state.filter(F.col("best.deg") <= wide) if wide < 720 else state.filter("best is not null")
-        part = settled.select("cell_id", "best")
-        out = part if out is None else out.unionByName(part)
-        open_ = state.join(part, "cell_id", "left_anti").select("cell_id", "lon", "lat")
-        if wide >= 720 or open_.isEmpty():
-            return out
-        # a coarser lattice keeps the number of bins a cell looks at constant
-        size *= 4
-        binned = materialize(_target_bins(targets, size), "bins")
-
-
-def _grouped_rings(cells: DataFrame, targets: DataFrame, points: bool, size: float) -> DataFrame:
-    """The nearest target and the nearest of another group, as two group rows per cell."""
-    binned = materialize(_target_bins(targets, size), "bins")
-    open_, out = cells, None
-    while True:
-        found = _best(_ring(open_, binned, 1, size), points, ["cell_id", "grp"])
-        order = Window.partitionBy("cell_id").orderBy("best")
-        two = materialize(found.withColumn("k", F.row_number().over(order)).filter("k <= 2"), "ring")
-        ok = two.filter("k = 2").filter(F.col("best.deg") <= size) if size < 720 else two.filter("k = 1")
-        part = two.join(ok.select("cell_id"), "cell_id", "left_semi").select("cell_id", "grp", "best")
-        out = part if out is None else out.unionByName(part)
-        open_ = materialize(open_.join(ok.select("cell_id"), "cell_id", "left_anti"), "open")
-        if size >= 720 or open_.isEmpty():
-            return out
-        size *= 4
-        binned = materialize(_target_bins(targets, size), "bins")
+        met = met.filter(F.col("grp").eqNullSafe(F.col("grp_at")))
+    met = met.select("bx", "by", *targets.columns)
+    # a point lies within half a diagonal of its bin's centre
+    away = geo.segment_distance(*((F.col(c) + 0.5) * size for c in ("bx", "by")), *(F.col(c) for c in ("x1", "y1", "x2", "y2")))[0]
+    half = size * 0.5**0.5
+    met = met.withColumn("_away", away)
+    return _pruned(met, ["bx", "by"], F.col("_away") - half, F.col("_away") + half, groups).drop("_away").distinct()
 
 
 def nearest_capped(cells: DataFrame, targets: DataFrame, name: str, cap_km: float | None) -> DataFrame:
@@ -159,10 +160,9 @@ def within_nearest(left: DataFrame, right: DataFrame, km: float = 1.0, box_deg:
 def within_epsilon(points: DataFrame, eps: float) -> DataFrame:
     """(a, b) with a < b: segments (id, x1, y1, x2, y2) whose planar distance is at most eps."""
     size = max(eps, 1e-9) * 4
-    grown = points.withColumn("bx", F.explode(F.sequence(_bin(F.least("x1", "x2") - eps, size), _bin(F.greatest("x1", "x2") + eps, size))))
-    grown = grown.withColumn("by", F.explode(F.sequence(_bin(F.least("y1", "y2") - eps, size), _bin(F.greatest("y1", "y2") + eps, size))))
     names = {c: f"{c}_b" for c in ("id", "x1", "y1", "x2", "y2")}
-    pairs = grown.join(grown.withColumnsRenamed(names), ["bx", "by"]).filter("id < id_b")
+    plain = _segment_bins(points, size).withColumnsRenamed(names)
+    pairs = _segment_bins(points, size, eps).join(plain, ["bx", "by"]).filter("id < id_b")
     seg, other = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(f"{c}_b") for c in ("x1", "y1", "x2", "y2")]
     ends = [
         geo.segment_distance(seg[0], seg[1], *other)[0],

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -26,24 +27,56 @@ def test_components_match_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_rings_agree_with_broadcast(spark):
+def _distance(p, q):
+    """Planar distance of a point to a segment (x1, y1, x2, y2)."""
+    dx, dy = q[2] - q[0], q[3] - q[1]
+    d2 = dx * dx + dy * dy
+    t = min(1, max(0, ((p[0] - q[0]) * dx + (p[1] - q[1]) * dy) / d2)) if d2 else 0
+    return math.hypot(p[0] - q[0] - t * dx, p[1] - q[1] - t * dy)
+
+
+@pytest.mark.parametrize(("bin_deg", "length"), [(None, 0.4), (0.05, 0.4), (0.5, 9.0), (3.0, 0.0)])
+def test_nearest_matches_all_pairs(spark, bin_deg, length):
     rnd = random.Random(5)
-    cells = spark.createDataFrame([(i, rnd.uniform(70, 90), rnd.uniform(8, 30)) for i in range(60)], "cell_id long, lon double, lat double")
+    cells = [(i, rnd.uniform(-70, 90), rnd.uniform(-8, 30)) for i in range(80)]
     lines = []
-    for i in range(40):
-        x, y = rnd.uniform(68, 95), rnd.uniform(6, 35)
-        lines.append((i, x, y, x + rnd.uniform(-0.4, 0.4), y + rnd.uniform(-0.4, 0.4), i % 3 or None))
+    for i in range(50):
+        x, y = rnd.choice([rnd.uniform(68, 72), rnd.uniform(-75, 95)]), rnd.uniform(-10, 35)
+        lines.append((i, x, y, x + rnd.uniform(-length, length), y + rnd.choice([0, rnd.uniform(-length, length)]), i % 4 or None))
+    df = spark.createDataFrame(cells, "cell_id long, lon double, lat double")
     targets = spark.createDataFrame(lines, "target_id long, x1 double, y1 double, x2 double, y2 double, grp int")
-    plain = lambda df: sorted((r.cell_id, r.best.target_id, round(r.best.km, 6)) for r in df.collect())
-    assert plain(knn.nearest(cells, targets)) == plain(knn.nearest(cells, targets, broadcast_rows=1))
-
-    def two(df):
-        out = {}
-        for r in df.collect():
-            out.setdefault(r.cell_id, []).append((r.best.deg, r.best.target_id))
-        return {k: [i for _, i in sorted(v)[:2]] for k, v in out.items()}
-
-    assert two(knn.nearest(cells, targets, groups=True)) == two(knn.nearest(cells, targets, broadcast_rows=1, groups=True))
+    want, two = {}, {}
+    for c, *p in cells:
+        order = sorted((round(_distance(p, q[1:5]), 9), q[0], q[5]) for q in lines)
+        want[c] = order[0][0]
+        two[c] = [order[0][0], next(d for d, _, g in order if g != order[0][2])]
+    assert {r.cell_id: round(r.best.deg, 9) for r in knn.nearest(df, targets, bin_deg).collect()} == want
+    found = {}
+    for r in knn.nearest(df, targets, bin_deg, groups=True).collect():
+        found.setdefault(r.cell_id, []).append(round(r.best.deg, 9))
+    assert {k: sorted(v)[:2] for k, v in found.items()} == two
+    assert knn.nearest(df, targets.limit(0)).count() == 0
+    one_group = knn.nearest_two_groups(df, targets.withColumn("grp", F.lit(1))).collect()
+    assert len(one_group) == len(cells) and all(r.other_id is None and r.other_km is None for r in one_group)
+
+
+def test_within_epsilon_matches_all_pairs(spark):
+    rnd = random.Random(6)
+    rows = [(0, 0.0, 0.0, 5.0, 5.0)]  # a long diagonal is in bins along itself only
+    for i in range(1, 60):
+        x, y = rnd.uniform(0, 5), rnd.uniform(0, 5)
+        rows.append((i, x, y, x + rnd.uniform(-0.1, 0.1), y + rnd.choice([0, rnd.uniform(-0.1, 0.1)])))
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+    def apart(p, q):
+        a, b, c, d = p[1:3], p[3:5], q[1:3], q[3:5]
+        if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
+            return 0.0
+        return min(_distance(a, q[1:]), _distance(b, q[1:]), _distance(c, p[1:]), _distance(d, p[1:]))
+
+    want = {(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and apart(p, q) <= 0.15}
+    got = knn.within_epsilon(spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double"), 0.15)
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 5
 
 
 def test_contract_rejects(spark):
