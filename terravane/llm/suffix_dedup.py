@@ -226,7 +226,7 @@ def _names(text):
 
 
 def duplicate_spans(
-    docs: DataFrame, length: int = LENGTH, shard_bytes: int = 4 << 20, hot_bytes: int = 4 << 20, broadcast_rows: int = 200_000
+    docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 << 20, hot_bytes: int = 4 << 20, broadcast_rows: int = 200_000
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_sha256) of every row; spans are flat (from, to) byte offsets."""
     spark = docs.sparkSession
