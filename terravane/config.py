@@ -49,6 +49,11 @@ class Preset:
         return {k: v / total for k, v in raw.items()}
 
 
+def preset_from(values: dict[str, float]) -> Preset:
+    """The default preset with some of its values changed; an unknown name is an error."""
+    return replace(Preset(), **values)
+
+
 DEFAULT = Preset()
 # fixed values
 TIER4 = replace(

@@ -11,28 +11,32 @@ from pyspark.sql import functions as F
 PSU = ["powergrid", "power grid", "pgcil", "central transmission", "ntpc", "neyveli", "damodar valley", "dvc", "north eastern electric", "neepco", "sjvn", "thdc"]
 STATE = ["transco", "discom", "vidyut", "mahatransco", "ptcl", "tneb", "transmission corporation", "state electricity", "seb", "kptcl", "mpptcl", "wbsedcl", "apgenco", "tsgenco"]
 PRIVATE = ["adani", "reliance", "torrent", "tata power", "sterlite", "essel infra", "jindal", "vedanta"]
-# fixed values: company, word pattern, in order
+# fixed values: company, pattern, in order
 COMPANIES = [
-    ("Amazon Web Services", r"AWS|Amazon"),
-    ("Microsoft Azure", r"Azure|Microsoft"),
-    ("Google Cloud", r"GCP|Google"),
-    ("Oracle Cloud", r"Oracle"),
-    ("IBM Cloud", r"IBM"),
-    ("Yotta Infrastructure", r"Yotta"),
-    ("NTT", r"NTT"),
-    ("CtrlS Datacenters", r"Ctrl[- ]?S"),
-    ("NXTRA by Airtel", r"NXTRA|Airtel"),
-    ("Reliance Jio", r"Jio|Reliance"),
-    ("Tata Communications", r"Tata"),
+    ("Amazon Web Services", r"(?i)\b(AWS|Amazon)\b"),
+    ("Microsoft Azure", r"(?i)\b(Azure|Microsoft)\b"),
+    ("Google Cloud", r"(?i)\b(GCP|Google)\b"),
+    ("Oracle Cloud", r"(?i)\bOracle\b"),
+    ("IBM Cloud", r"(?i)\bIBM\b"),
+    ("Yotta Infrastructure", r"(?i)\bYotta\b"),
+    ("NTT", r"(?i)\bNTT\b"),
+    ("CtrlS Datacenters", r"(?i)\bCtrl[- ]?S\b"),
+    ("NXTRA by Airtel", r"(?i)\b(NXTRA|Airtel)\b"),
+    ("Reliance Jio", r"(?i)\b(Jio|Reliance)\b"),
+    ("Tata Communications", r"(?i)\bTata\b"),
 ]
-# fixed values
+# fixed values: zone names
+DATA_CENTER_ZONE = r"(?i)\b(data ?cent(re|er)|cloud|hyperscaler)\b"
+IT_ZONE = r"(?i)\b(IT|software|tech|cyber|data|cloud|ITES|HITEC|software park)\b"
+# fixed values: state names as the boundary file spells them, and their codes
 STATE_CODES = {
-    "Andaman and Nicobar": "AN", "Andhra Pradesh": "AP", "Arunachal Pradesh": "AR", "Assam": "AS", "Bihar": "BR", "Chandigarh": "CH",
-    "Chhattisgarh": "CT", "DadraandNagarHaveli": "DH", "Dadra and Nagar Haveli and Daman and Diu": "DH", "DamanandDiu": "DH", "Delhi": "DL",
-    "NCTofDelhi": "DL", "Goa": "GA", "Gujarat": "GJ", "Haryana": "HR", "Himachal Pradesh": "HP", "Jammu and Kashmir": "JK", "Jharkhand": "JH",
-    "Karnataka": "KA", "Kerala": "KL", "Ladakh": "LA", "Lakshadweep": "LD", "Madhya Pradesh": "MP", "Maharashtra": "MH", "Manipur": "MN",
-    "Meghalaya": "ML", "Mizoram": "MZ", "Nagaland": "NL", "Odisha": "OD", "Puducherry": "PY", "Punjab": "PB", "Rajasthan": "RJ", "Sikkim": "SK",
-    "Tamil Nadu": "TN", "Telangana": "TG", "Tripura": "TR", "Uttar Pradesh": "UP", "Uttarakhand": "UT", "West Bengal": "WB",
+    "Andaman and Nicobar": "AN", "AndamanandNicobar": "AN", "Andhra Pradesh": "AP", "AndhraPradesh": "AP", "Arunachal Pradesh": "AR", "ArunachalPradesh": "AR",
+    "Assam": "AS", "Bihar": "BR", "Chandigarh": "CH", "Chhattisgarh": "CT", "DadraandNagarHaveli": "DH", "Dadra and Nagar Haveli and Daman and Diu": "DH",
+    "DamanandDiu": "DH", "Delhi": "DL", "NCTofDelhi": "DL", "Goa": "GA", "Gujarat": "GJ", "Haryana": "HR", "Himachal Pradesh": "HP", "HimachalPradesh": "HP",
+    "Jammu and Kashmir": "JK", "JammuandKashmir": "JK", "Jharkhand": "JH", "Karnataka": "KA", "Kerala": "KL", "Ladakh": "LA", "Lakshadweep": "LD",
+    "Madhya Pradesh": "MP", "MadhyaPradesh": "MP", "Maharashtra": "MH", "Manipur": "MN", "Meghalaya": "ML", "Mizoram": "MZ", "Nagaland": "NL", "Odisha": "OD",
+    "Puducherry": "PY", "Punjab": "PB", "Rajasthan": "RJ", "Sikkim": "SK", "Tamil Nadu": "TN", "TamilNadu": "TN", "Telangana": "TG", "Tripura": "TR",
+    "Uttar Pradesh": "UP", "UttarPradesh": "UP", "Uttarakhand": "UT", "West Bengal": "WB", "WestBengal": "WB",
 }
 
 
@@ -46,7 +50,7 @@ def company(name: Column, operator: Column) -> Column:
     text = F.concat_ws(" ", name, operator)
     out = F.when(operator != "", operator)
     for label, pattern in reversed(COMPANIES):
-        out = F.when(text.rlike(rf"(?i)\b(?:{pattern})\b"), label).otherwise(out)
+        out = F.when(text.rlike(pattern), label).otherwise(out)
     return F.when(F.trim(text) != "", out)
 
 
@@ -60,8 +64,8 @@ def tier(name: Column, tag: Column) -> Column:
 def sez_policy(name: Column) -> Column:
     return (
         F.when(F.coalesce(name, F.lit("")) == "", None)
-        .when(name.rlike(r"(?i)\b(data ?cent(re|er)|cloud|hyperscaler)\b"), "data_center_incentive")
-        .when(name.rlike(r"(?i)\b(IT|software|tech|cyber|data|cloud|ITES|HITEC|software park)\b"), "it_services")
+        .when(name.rlike(DATA_CENTER_ZONE), "data_center_incentive")
+        .when(name.rlike(IT_ZONE), "it_services")
         .otherwise("multi_product")
     )
 
@@ -78,6 +82,5 @@ def voltage_kv(raw: Column) -> Column:
 
 
 def state_code(name: Column) -> Column:
-    """Also the spelling without blanks is known; NULL for an unknown name."""
-    table = STATE_CODES | {k.replace(" ", ""): v for k, v in STATE_CODES.items()}
-    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[name]
+    """NULL for an unknown name."""
+    return F.create_map(*(F.lit(x) for pair in STATE_CODES.items() for x in pair))[name]

@@ -36,13 +36,18 @@ def axial(cell: Column) -> tuple[Column, Column]:
 
 def cell_at(lon: Column, lat: Column, resolution: int) -> Column:
     s = size_deg(resolution)
-    q, r = (SQRT3 / 3 * lon - lat / 3) / s, (2 / 3 * lat) / s
-    x, z = F.round(q), F.round(r)
-    y = F.round(-q - r)
-    dx, dy, dz = F.abs(x - q), F.abs(y + q + r), F.abs(z - r)
-    qx = F.when((dx > dy) & (dx > dz), -y - z).otherwise(x)
-    rz = F.when((dx > dy) & (dx > dz), z).when(dy > dz, z).otherwise(-x - y)
-    return _pack(resolution, qx.cast("long"), rz.cast("long"))
+
+    def rounded(a: Column) -> Column:
+        q, r = a["q"], a["r"]
+        x, z = F.round(q), F.round(r)
+        y = F.round(-q - r)
+        dx, dy, dz = F.abs(x - q), F.abs(y + q + r), F.abs(z - r)
+        qx = F.when((dx > dy) & (dx > dz), -y - z).otherwise(x)
+        rz = F.when((dx > dy) & (dx > dz), z).when(dy > dz, z).otherwise(-x - y)
+        return _pack(resolution, qx.cast("long"), rz.cast("long"))
+
+    axes = F.struct(((SQRT3 / 3 * lon - lat / 3) / s).alias("q"), ((2 / 3 * lat) / s).alias("r"))
+    return F.transform(F.array(axes), rounded)[0]  # a lambda variable, so that the axes stand in the plan once
 
 
 def center(cell: Column, resolution: int) -> Column:
@@ -66,9 +71,10 @@ def disk(cell: Column, k: int, resolution: int) -> Column:
 
 def children(cell: Column, resolution: int) -> Column:
     """Cells one resolution finer whose parent is ``cell``; ``resolution`` is the parent's."""
-    c = center(cell, resolution)
-    near = disk(cell_at(c["lon"], c["lat"], resolution + 1), 3, resolution + 1)
-    return F.filter(near, lambda x: parent(x, resolution + 1) == cell)
+    # bound as lambda variables, so that the long expressions stand in the plan once
+    bind = lambda value, use: F.transform(F.array(value), use)[0]
+    near = bind(center(cell, resolution), lambda c: cell_at(c["lon"], c["lat"], resolution + 1))
+    return bind(near, lambda n: F.filter(disk(n, 3, resolution + 1), lambda x: parent(x, resolution + 1) == cell))
 
 
 def boundary(cell: Column, resolution: int) -> Column:

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def last_wins(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
+def last_wins(old: DataFrame, new: DataFrame, keys: list[str], *order) -> DataFrame:
+    """``new`` and the rows of ``old`` whose keys it lacks. A key that is twice in ``new`` keeps its last row by ``order``;
+    without an order, its greatest by all other columns."""
+    rest = [F.desc_nulls_last(c) for c in new.columns if c not in keys]
+    last = first_kept(new, keys, *([F.desc_nulls_last(c) if isinstance(c, str) else c.desc_nulls_last() for c in order]), *rest) if rest else new.dropDuplicates(keys)
+    return last.unionByName(old.join(new.select(*keys), keys, "left_anti"))
 
 
 def preserving(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.functions import hexgrid
 from terravane.functions.transforms import present, relative_humidity
 
 # fixed values: class codes of the land-cover map
 LANDCOVER = {"forest_pct": [10, 95], "cropland_pct": [40], "urban_pct": [50], "water_pct": [80], "bareland_pct": [60], "wetland_pct": [90]}
 
 
+def assign_pixels(pixels: DataFrame, resolution: int) -> DataFrame:
+    """``pixels`` (lon, lat, ...) with the cell_id of the grid cell that holds each."""
+    return pixels.withColumn("cell_id", hexgrid.cell_at(F.col("lon"), F.col("lat"), resolution))
+
+
 def zonal(cells: DataFrame, pixels: DataFrame, **stats: Column) -> DataFrame:
     """Every cell with the given aggregates of its pixels; NULL for cells without pixels."""
     return cells.select("cell_id").join(pixels.groupBy("cell_id").agg(*(c.alias(k) for k, c in stats.items())), "cell_id", "left")

@@ -11,9 +11,11 @@ from terravane.functions import classify, geo
 
 
 def nodes(label: str, df: DataFrame, key: str, **props) -> DataFrame:
-    """(label, key, props) of distinct non-null keys."""
-    rows = df.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return rows.select(F.lit(label).alias("label"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*props.values())).alias("props") if props else F.lit("{}").alias("props"))
+    """(label, key, props) of distinct non-null keys; of several rows of a key the least properties stay."""
+    said = F.to_json(F.struct(*(F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in props.items()))) if props else F.lit("{}")
+    rows = df.filter(F.col(key).isNotNull() if isinstance(key, str) else key.isNotNull())
+    rows = rows.select((F.col(key) if isinstance(key, str) else key).cast("string").alias("key"), said.alias("props"))
+    return rows.groupBy("key").agg(F.min("props").alias("props")).select(F.lit(label).alias("label"), "key", "props")
 
 
 def edges(kind: str, df: DataFrame, src: str, dst: str) -> DataFrame:
@@ -85,9 +87,14 @@ def distinct_operator_redundancy(scores, nearest, dual, owned, run_id, top_n=20)
 
 
 def _near(cells, places, max_km) -> DataFrame:
-    p = places.withColumnsRenamed({"lon": "plon", "lat": "plat", "state_code": "pstate"})
+    """Cells and places of one state within max_km, met on bins of that width: a place is in its bin and the eight around."""
+    size = max_km / 111 + 1e-9
+    at = lambda c, d=0: F.floor(F.col(c) / size) + d
+    around = F.array(*(F.struct(at("lon", i).alias("bx"), at("lat", j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    p = places.withColumn("_bin", F.explode(around)).select("*", "_bin.bx", "_bin.by").drop("_bin").withColumnsRenamed({"lon": "plon", "lat": "plat"})
     km = geo.approx_km(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
-    return cells.join(p, F.col("state_code") == F.col("pstate")).withColumn("km", km).filter(F.col("km") <= max_km)
+    binned = cells.withColumns({"bx": at("lon"), "by": at("lat")})
+    return binned.join(p, ["state_code", "bx", "by"]).drop("bx", "by").withColumn("km", km).filter(F.col("km") <= max_km)
 
 
 def near_zones(scores, zones, run_id, max_km=25.0, min_score=0.5) -> DataFrame:

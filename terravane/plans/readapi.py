@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.operators import scoring
+
 # fixed values
 LABELS = {
     "sub_power": "Power redundancy",
@@ -50,7 +54,7 @@ def kpis(scores: DataFrame) -> DataFrame:
     return scores.agg(
         n.alias("cells"),
         F.coalesce(F.max("score"), F.lit(0.0)).alias("best"),
-        F.coalesce(F.percentile("score", F.lit(0.9)), F.lit(0.0)).alias("p90"),
+        F.lit(quantile(scores, "score", 0.9) or 0.0).alias("p90"),
         F.coalesce(out / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("excluded_share"),
     )
 
@@ -69,13 +73,85 @@ def ranked_parts(breakdown: Column) -> Column:
 
 
 def reasoning(score: Column, parts: Column) -> Column:
-    """A sentence: the two strongest parts, and the weakest if it is under 0.4."""
-    say = lambda p: F.format_string("%s (%.2f)", F.lower(p["label"]), p["value"])
-    top = F.array_join(F.transform(F.slice(parts, 1, 2), say), " + ")
+    """A sentence: the two strongest parts, and the weakest if it is under 0.4 and there are three or more."""
+    say = lambda p: F.format_string("%s %.2f", F.lower(p["label"]), p["value"])
+    top = F.array_join(F.transform(F.slice(parts, 1, 2), say), " and ")
     low = F.get(parts, F.size(parts) - 1)
-    weak = F.when((F.size(parts) > 2) & (low["value"] < 0.4), F.concat(F.lit(" — held back by weak "), say(low))).otherwise("")
-    full = F.concat(F.format_string("Composite **%.3f** — driven by ", score), top, weak, F.lit("."))
-    return F.when(F.size(parts) == 0, F.format_string("Composite score %.3f.", score)).otherwise(full)
+    weak = F.when((F.size(parts) > 2) & (low["value"] < 0.4), F.concat(F.lit("; weakest: "), say(low))).otherwise("")
+    full = F.concat(F.format_string("Score %.3f, led by ", score), top, weak, F.lit("."))
+    return F.when(F.size(parts) == 0, F.format_string("Score %.3f.", score)).otherwise(full)
+
+
+def eta_text(seconds: Column) -> Column:
+    """Seconds as text: whole seconds under a minute, minutes under an hour, else hours."""
+    # fixed values: the three formats
+    return F.when(seconds < 60, F.format_string("%.0fs", seconds)).when(seconds < 3600, F.format_string("%.1fmin", seconds / 60)).otherwise(F.format_string("%.1fh", seconds / 3600))
+
+
+def list_runs(runs: DataFrame, limit: int = 100) -> DataFrame:
+    """The latest runs first."""
+    return runs.orderBy(F.desc_nulls_last("finished_at"), F.desc("run_id")).limit(limit)
+
+
+def latest_run_id(runs: DataFrame):
+    row = runs.filter("status = 'success'").orderBy(F.desc_nulls_last("finished_at"), F.desc("run_id")).first()
+    return row and row.run_id
+
+
+def list_states(scores: DataFrame) -> DataFrame:
+    return scores.select("state_code").filter("state_code is not null").distinct().orderBy("state_code")
+
+
+def top_sites(sites: DataFrame, state: str | None = None, limit: int | None = None) -> DataFrame:
+    """Sites by state, the best first."""
+    out = sites.filter(F.col("state_code") == state) if state else sites
+    out = out.orderBy("state_code", F.desc("score"), "cell_id")
+    return out.limit(limit) if limit else out
+
+
+def cell_detail(features: DataFrame, scores: DataFrame, runs: DataFrame, cell_id) -> DataFrame:
+    """A cell's features with its score of the latest run by time; the score is NULL if it has none."""
+    own = scores.filter(F.col("cell_id") == cell_id).join(runs.select("run_id", "finished_at"), "run_id")
+    last = own.orderBy(F.desc_nulls_last("finished_at"), F.desc("run_id")).limit(1).select("cell_id", "run_id", "score")
+    return features.filter(F.col("cell_id") == cell_id).join(last, "cell_id", "left")
+
+
+def rescore(features: DataFrame, preset, **changes) -> DataFrame:
+    """Scores of the features under a preset with some of its values changed, best first."""
+    out = scoring.score(features, dataclasses.replace(preset, **changes))
+    return out.select("cell_id", "state_code", *scoring.SUBS, "score").orderBy(F.desc("score"), "cell_id")
+
+
+def quantile(df: DataFrame, column: str, q: float, buckets: int = 10_000) -> float | None:
+    """The exact quantile with linear interpolation, without gathering the column in one task.
+
+    Rows are counted in equal buckets between the extremes; only the values of the buckets that hold the two ranks are
+    then counted one by one. Equal values are one row, so a hot value is no burden.
+    """
+    c = F.col(column)
+    rows = df.select(c.cast("double").alias("v")).filter("v is not null")
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return None
+    if low == high:
+        return low
+    width = (high - low) / buckets
+    own = F.least(F.floor((F.col("v") - low) / width), F.lit(buckets - 1)).alias("b")
+    counts = sorted((r.b, r.n) for r in rows.groupBy(own).agg(F.count("*").alias("n")).collect())  # at most buckets rows
+    rank = q * (n - 1)
+    want, found, seen = {int(rank), min(n - 1, int(rank) + 1)}, {}, 0
+    for b, m in counts:
+        inside = [k for k in want if seen <= k < seen + m]
+        if inside:
+            at = seen
+            for r in rows.filter(own == b).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").toLocalIterator():
+                found.update({k: r.v for k in inside if at <= k < at + r.n})
+                at += r.n
+                if all(k in found for k in inside):
+                    break
+        seen += m
+    a, z = found[int(rank)], found[min(n - 1, int(rank) + 1)]
+    return a + (rank - int(rank)) * (z - a)
 
 
 def compare(features: DataFrame, columns: list[str]) -> DataFrame:

@@ -49,8 +49,8 @@ VIEWS = {
     "pixels": f"""SELECT o_custkey AS cell_id, CAST(l_quantity AS INT) % 10 * 10 AS code, l_extendedprice / 997 AS value, l_discount * 1000 - 10 AS occurrence, l_tax * 10 AS seasonality,
       290 + l_quantity / 5 AS temp_k, 285 + l_quantity / 10 AS dew_k, l_extendedprice * 1003.7 AS monthly_j_m2, l_discount * 20 AS pga FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "runs": "SELECT event_id AS run_id, event_type AS source, CASE event_id % 3 WHEN 0 THEN 'failed' ELSE 'success' END AS status, ts AS finished_at, user_id AS row_count FROM events",
-    "letters": "SELECT event_id - event_id % 7 AS run_id, event_type AS source, props AS payload FROM events WHERE event_id % 7 < 3",
-    "connects": "SELECT DISTINCT l_partkey - l_partkey % 10 AS line_id, l_suppkey AS sub_id FROM lineitem WHERE l_orderkey % 40 = 0 AND l_partkey >= 10",
+    "letters": "SELECT event_id AS run_id, event_type AS source, props AS payload, event_id * 4 + k AS letter_id FROM events CROSS JOIN (VALUES (0), (1), (2)) AS v(k) WHERE k < event_id % 4",
+    "connects": "SELECT DISTINCT l_partkey - l_partkey % 10 AS line_id, l_suppkey AS sub_id FROM lineitem WHERE l_partkey >= 10",
     "nearest_line": f"SELECT cell_id, cell_id % 19 * 10 AS line_id, {_mod('cell_id', 3, 97)} AS km FROM cells",
     "dual_line": f"SELECT cell_id, cell_id % 17 * 10 AS line_id, {_mod('cell_id', 11, 201)} AS km FROM cells WHERE cell_id % 9 <> 0",
 }
