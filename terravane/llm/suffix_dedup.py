@@ -9,7 +9,8 @@ about one segment per length / 2 bytes: the bytes of all windows of one anchor.
 128-bit hash; where a segment repeats, all its windows do. Where one anchor has several different segments, one copy
 of each goes to the anchor's shard. There ``induced`` sorts all suffixes, shard after shard of about ``shard_bytes``,
 by external induced sorting with common-prefix values: a window repeats if its suffix has ``length`` bytes in common
-with a neighbour. Nothing is sampled: the anchors only say which suffixes must meet.
+with a neighbour. Nothing is sampled: the anchors only say which suffixes must meet. Shards
+are dealt to as many tasks as their counted bytes need, ``task_bytes`` each, so tasks do not grow with the corpus.
 
 Hot anchors. An anchor whose segments exceed ``hot_bytes`` would fill a task. Its windows are named by their 128-bit
 hash instead and counted with map-side aggregation, so they spread over all tasks.
@@ -226,7 +227,7 @@ def _names(text):
 
 
 def duplicate_spans(
-    docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 << 20, hot_bytes: int = 4 << 20, broadcast_rows: int = 200_000
+    docs: DataFrame, length: int = LENGTH, shard_bytes: int = 1 << 20, hot_bytes: int = 1 << 19, task_bytes: int = 8 << 20, broadcast_rows: int = 200_000
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_sha256) of every row; spans are flat (from, to) byte offsets."""
     spark = docs.sparkSession
@@ -248,6 +249,8 @@ def duplicate_spans(
     hot = wanted.groupBy("h").agg(F.sum(F.col("hi") - F.col("lo") + length).alias("b")).filter(F.col("b") > hot_bytes).select("h")
     hot = materialize(hot, "hot")
     n_hot = hot.count()
+    total = wanted.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
     if n_hot:
         few = F.broadcast(hot) if n_hot <= broadcast_rows else hot
         cold, often = wanted.join(few, "h", "left_anti"), wanted.join(few, "h", "left_semi")
@@ -258,7 +261,7 @@ def duplicate_spans(
         own = raw[x["lo"] : x["hi"] + length]
         return [(x["h"], *_name(own), own)]
 
-    sorted_ = _wanted(texts, cold, segment, "h long, g1 long, g2 long, bytes binary").repartition("h").sortWithinPartitions("h", "g1", "g2")
+    sorted_ = _wanted(texts, cold, segment, "h long, g1 long, g2 long, bytes binary").repartition(tasks, "h").sortWithinPartitions("h", "g1", "g2")
     runs = sorted_.mapInArrow(_shard(length, shard_bytes, shared_dir(spark)), "h long, g1 long, g2 long, runs array<int>").filter(F.size("runs") > 0)
     if often is not None:
 
