@@ -247,8 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 800, max_neg: int = 1
     terms: dict[str, int] = {names[i]: k_ for k_, i in enumerate(order)}
     term, count = place[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64), flat[1].to_numpy(zero_copy_only=False).astype(np.int64)
 
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # the words of max_pos + max_neg rows; workers hold it once
+
     def frequency(batches):
-        df, n = Counter(), 0
+        terms, df, n = shared.value, Counter(), 0
         for b in batches:
             for text in b.column(0).to_pylist():
                 df.update(terms.keys() & set(words(text)))
@@ -288,16 +290,17 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", evidence: int
     ship(docs.sparkSession)
     docs = docs.drop(*({"score", "evidence_ids", "evidence_cosines"} - {text}))
     at = docs.columns.index(text)
-    ids = [str(x) for x in model.doc_ids]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled rows; workers hold it once
 
     def run(batches):
+        model = shared.value
         for b in batches:
             found = model.score(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     *b.columns,
                     pa.array([x[0] for x in found], pa.float64()),
-                    pa.array([[ids[i] for i in x[1][:evidence]] for x in found], pa.list_(pa.string())),
+                    pa.array([[str(model.doc_ids[i]) for i in x[1][:evidence]] for x in found], pa.list_(pa.string())),
                     pa.array([x[2][:evidence].tolist() for x in found], pa.list_(pa.float64())),
                 ],
                 [*b.schema.names, "score", "evidence_ids", "evidence_cosines"],
