@@ -1,17 +1,21 @@
-r"""Near-duplicates by the exact Jaccard similarity of word-shingle sets.
+r"""Near-duplicates at a stated similarity: SimHash groups first, completed by an exact join of shingle sets.
 
 Two texts link if their sets of word shingles have a Jaccard similarity of 0.8 or more. At 0.8 two 64-bit
-SimHash fingerprints differ by about 10 bits and by 16 and more at times, so no radius finds all such pairs;
-here candidates come from a prefix join, which misses none, and each is verified on the sets.
-
-Join. Before sets meet, a pair's histograms do: 256 counts of the shingles' low bytes. The sum of the lesser counts
-bounds the overlap from above, so pairs that fall short of it are out without a loss, and only the few others are
-compared set by set. Shingles are 64-bit hashes, put in one order for all texts: those that are common in a bounded sample come
-last (the sample shapes the order only). A set of n shingles that is 0.8 similar to another shares one of its
-first n - ceil(0.8 n) + 1 with the first ones of the other. Equal sets are one node. Per shared shingle each node
-is compared with one head of it first, verified links become components, and after ``rounds`` such rounds all
-remaining pairs of different components are compared; pairs within a component need no link. So a large group
-of near copies costs rows near its size, and the result is that of all pairs.
+fingerprints differ by about 10 bits, and by 16 and more at times, so no radius that vantage points can search
+finds all such pairs. So the stage works in two steps, and its result is that of all pairs.
+
+SimHash. Fingerprints are linked by the vantage-point trees of ``simhash`` at ``radius`` bits; texts of one
+fingerprint link to its first. Each link is verified on the sets. This groups the close copies, however many.
+
+Completion. Shingles are 64-bit hashes, put in one order for all texts: those that are common in a bounded sample
+come last (the sample shapes the order only). A set of n shingles that is 0.8 similar to another shares one of its
+first n - ceil(0.8 n) + 1 with the first ones of the other. Per shared shingle the nodes of different groups are
+compared with one head of it (``rounds`` times), and then all remaining pairs of different groups; pairs within a
+group need no link. So a large group of near copies costs rows near its size.
+
+Before sets meet, a pair's histograms do: 256 counts of the shingles' low bytes. The sum of the lesser counts bounds
+the overlap from above, so pairs that fall short of it are out without a loss, and only the few others are compared
+set by set. Equal sets are one node.
 
 Rows: null and blank texts have the empty set and form one group. A null doc_id keeps its row if all ids of the
 group are null.
@@ -25,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravane.llm import simhash
 from terravane.operators.components import connected_components
 from terravane.runtime import materialize, ship
 
@@ -33,15 +38,7 @@ SHINGLE, SEED = 5, 42
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; a text of fewer words is one shingle."""
-    words = text.lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, size = b" ".join(words), min(shingle, len(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - size + 1))
+    return np.unique(simhash.shingle_hashes(text, shingle))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -104,22 +101,24 @@ def _common(docs: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.
 
 
 def _sets(docs: DataFrame, shingle: int, sample: int) -> DataFrame:
-    """(doc_id, node, n, prefix, hist, items) of each text."""
+    """(doc_id, node, fp, n, prefix, hist, items) of each text."""
     common, rank = _common(docs, shingle, sample)
 
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t or b"", shingle) for t in b.column(1).cast(pa.large_binary()).to_pylist()]
+            hashes = [simhash.shingle_hashes(t or b"", shingle) for t in b.column(1).cast(pa.large_binary()).to_pylist()]
+            sets = [np.unique(h) for h in hashes]
+            fp = np.fromiter(map(simhash.majority, hashes), np.uint64, len(hashes)).view(np.int64)
             first = [prefix(s, common, rank) if len(s) else s for s in sets]
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             firsts = np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)
             node = np.fromiter(map(_name, sets), np.uint64, len(sets)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(firsts)), pa.array([histogram(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["doc_id", "node", "n", "prefix", "hist", "items"],
+                [b.column(0), pa.array(node), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(firsts)), pa.array([histogram(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["doc_id", "node", "fp", "n", "prefix", "hist", "items"],
             )
 
-    schema = docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("node", "n")), F.array(F.lit(0).cast("long")).alias("prefix"), F.lit(b"").alias("hist"), F.lit(b"").alias("items")).schema
+    schema = docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("node", "fp", "n")), F.array(F.lit(0).cast("long")).alias("prefix"), F.lit(b"").alias("hist"), F.lit(b"").alias("items")).schema
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -152,7 +151,18 @@ def _verified(pairs: DataFrame, hists: DataFrame, sets: DataFrame) -> DataFrame:
     return _compared(able, items, _are)
 
 
-def components(sets: DataFrame, rounds: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _simhash_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of nodes that one fingerprint names or whose fingerprints link."""
+    own = materialize(sets.select("node", "fp").distinct(), "fps")
+    heads = own.groupBy("fp").agg(F.min("node").alias("head"))
+    stars = own.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = simhash.fingerprint_links(materialize(heads, "heads"), radius).toDF("fa", "fb")
+    far = links.join(heads.toDF("fa", "a"), "fa").join(heads.toDF("fb", "b"), "fb").filter("a <> b").select("a", "b")
+    both = stars.unionByName(far)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def components(sets: DataFrame, rounds: int = 1, radius: int = simhash.RADIUS, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(node, component) of the nodes that link to another."""
     entries = sets.select("node", "n", F.explode("prefix").alias("key"))
     shared = materialize(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "shared")
@@ -160,13 +170,13 @@ def components(sets: DataFrame, rounds: int = 2, broadcast_rows: int = 1_000_000
     held = materialize(entries.join(F.broadcast(shared) if few else shared, "key", "left_semi").distinct(), "held")
     hists = sets.select("node", "hist").join(held.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     hists = materialize(hists, "hists")
-    comp = links = None
+    # similar sets share a shingle of their prefixes, so a SimHash pair without histograms is not similar
+    links = materialize(_verified(_simhash_pairs(sets, radius), hists, sets), "links")
     near = F.expr("5 * least(n, n2) >= 4 * greatest(n, n2)")
     for k in range(rounds + 1):
-        tagged = held.withColumn("c", F.col("node"))
-        if comp is not None:
-            tagged = held.join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-            tagged = materialize(tagged, "tagged")
+        comp = materialize(connected_components(links), "components")
+        tagged = held.join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+        tagged = materialize(tagged, "tagged")
         head = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("o"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2")))
         live = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), head.alias("head")).filter("lo <> hi")
         if k < rounds:
@@ -177,10 +187,8 @@ def components(sets: DataFrame, rounds: int = 2, broadcast_rows: int = 1_000_000
             other = left.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
             met = left.join(other, "key").filter((F.col("c") < F.col("c2")) & near)
         pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        found = materialize(_verified(pairs, hists, sets), "links")
-        links = found if links is None else links.unionByName(found)
-        comp = materialize(connected_components(links), "components")
-    return comp
+        links = links.unionByName(materialize(_verified(pairs, hists, sets), "links"))
+    return materialize(connected_components(links), "components")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, sample: int = 2000, broadcast_rows: int = 1_000_000, **search) -> DataFrame:

@@ -33,22 +33,31 @@ from terravane.runtime import materialize, ship
 SHINGLE, RADIUS, SEED = 4, 4, 42
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit fingerprint of a UTF-8 text."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each word shingle of a UTF-8 text, repeats included; a text of fewer words is one shingle."""
     words = text.lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 18):
-        part = slice(at, at + (1 << 18))
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[part], ends[part])], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have; zero for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 18):
+        ones += np.unpackbits(hashes[at : at + (1 << 18)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit fingerprint of a UTF-8 text."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:

@@ -47,10 +47,10 @@ def _rows():
     return [(k, t, "x") for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_keep_one_is_that_of_all_pairs(spark, rounds):
+@pytest.mark.parametrize(("rounds", "radius"), [(0, 0), (1, 4), (2, 4)])
+def test_keep_one_is_that_of_all_pairs(spark, rounds, radius):
     rows = _rows()
-    kept = near_sets.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(4), rounds=rounds)
+    kept = near_sets.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(4), rounds=rounds, radius=radius)
     assert sorted(r.doc_id for r in kept.collect()) == _kept(rows) and kept.columns == ["doc_id", "text", "key"]
 
 
