@@ -25,7 +25,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more stays; five-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.8 or more stays; five-word shingles, SimHash groups first."""
     return near_sets.keep_one(docs, shingle=5)
 
 
@@ -44,7 +44,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity_stage),
     ("line dedup", line_stage),
-    ("near-dedup", near_duplicate_stage),
+    ("simhash near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
     ("byte-level bpe", bpe_stage),
 ]
