@@ -59,7 +59,8 @@ def assign(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS) -
 
 
 def write_shards(df: DataFrame, key: str, shards: Sequence[str], path: str, pieces: int = 8, slots: int = SLOTS) -> None:
-    """Write ``df`` as path/shard=.../; each shard's rows are dealt to ``pieces`` tasks by slot, so that none is hot."""
+    """Write ``df`` as path/shard=.../; each shard's rows are dealt to ``pieces`` tasks by their content and the partition they
+    come from, so that a key or a row that is there very often fills no task."""
     placed = assign(df, key, shards, slots)
-    piece = F.pmod(F.xxhash64("slot", *df.columns[:1]), F.lit(pieces))
+    piece = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(pieces))
     placed.repartition(F.col("shard"), piece).drop("slot").write.partitionBy("shard").parquet(path)
