@@ -84,10 +84,12 @@ def release(spark: SparkSession) -> int:
 def ship(spark: SparkSession) -> None:
     """Make the session ready for Arrow functions: workers get this package, as they may start without it on their path.
 
-    Batches of the default 10,000 rows of text would take much memory; they are cut to 1,000 unless set otherwise.
+    Batches of the default 10,000 rows of text would take much memory; they are cut to 1,000 unless the caller has set a
+    number. The setting is read when a job starts, so it cannot be given to one operator alone.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(batch):
+        spark.conf.set(batch, "1000")
     context = spark.sparkContext
     if getattr(context, "_terravane_shipped", False):
         return
