@@ -37,7 +37,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every document."""
     path = public_tokenizers.path(VOCABULARY)
-    done = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    ids = materialize(bpe.encode(docs, path, public_tokenizers.PATTERN), "ids")  # a stage with one Python step needs fewer workers
+    done = bpe.decode(ids, path)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
