@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane import config
-from terravane.catalog import _TYPE, _protected_rings, query, r6
+from terravane.catalog import _TWO, _TYPE, _lines, _protected_rings, query, r6
 from terravane.functions import classify, geo, h3bits, hexgrid, polygons
-from terravane.operators import governance, spatial, upsert, zonal
+from terravane.operators import governance, knn, spatial, upsert, zonal
+from terravane.operators.components import connected_components
 from terravane.plans import graph, projection, readapi
 from terravane.sources import vector
 
@@ -251,6 +252,46 @@ def ad_hoc_sql(s):
     return projection.ask({"graph_ties": ties}, "SELECT type, count(*) AS n FROM graph_ties GROUP BY type", 10)
 
 
+# --- the graph on what the joins find
+
+
+@query(f"WITH {_TWO} SELECT coalesce(l.subgrid, -1) AS subgrid, count(*) AS n_cells, count(o.osm_id) AS n_dual FROM two t JOIN power_lines l ON l.osm_id = t.line_id LEFT JOIN power_lines o ON o.osm_id = t.other_id GROUP BY 1")
+def cells_by_nearest_subgrid(s):
+    """Cells whose nearest line, as the join finds it, is of a sub-grid, and how many of them have a line of another one."""
+    found = knn.nearest_two_groups(s.cells, _lines(s))
+    grid = s.power_lines.select(F.col("osm_id").alias("line_id"), F.coalesce("subgrid", F.lit(-1)).alias("subgrid"))
+    return found.join(grid, "line_id").groupBy("subgrid").agg(F.count("*").alias("n_cells"), F.count("other_id").alias("n_dual"))
+
+
+_EPS = 1.7
+
+
+def _to_segment(px: str, py: str, l: str) -> str:
+    t = f"least(1.0, greatest(0.0, coalesce((({px} - {l}.x1) * ({l}.x2 - {l}.x1) + ({py} - {l}.y1) * ({l}.y2 - {l}.y1)) / nullif(pow({l}.x2 - {l}.x1, 2) + pow({l}.y2 - {l}.y1, 2), 0), 0.0)))"
+    return f"sqrt(pow({px} - {l}.x1 - {t} * ({l}.x2 - {l}.x1), 2) + pow({py} - {l}.y1 - {t} * ({l}.y2 - {l}.y1), 2))"
+
+
+def _side(l: str, x: str, y: str) -> str:
+    return f"(({l}.x2 - {l}.x1) * ({y} - {l}.y1) - ({l}.y2 - {l}.y1) * ({x} - {l}.x1))"
+
+
+_APART = (
+    f"CASE WHEN {_side('a', 'b.x1', 'b.y1')} * {_side('a', 'b.x2', 'b.y2')} < 0 AND {_side('b', 'a.x1', 'a.y1')} * {_side('b', 'a.x2', 'a.y2')} < 0 THEN 0.0 ELSE "
+    f"least({_to_segment('a.x1', 'a.y1', 'b')}, {_to_segment('a.x2', 'a.y2', 'b')}, {_to_segment('b.x1', 'b.y1', 'a')}, {_to_segment('b.x2', 'b.y2', 'a')}) END"
+)
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT a.osm_id AS a, b.osm_id AS b FROM power_lines a, power_lines b WHERE {_APART} <= {_EPS}), "
+    "w(n, m) AS (SELECT a, b FROM e UNION SELECT w.n, e.b FROM w JOIN e ON e.a = w.m), c AS (SELECT n, min(m) AS c FROM w GROUP BY n) SELECT x.n AS a, y.n AS b FROM c x JOIN c y ON x.c = y.c AND x.n < y.n"
+)
+def parallel_lines(s):
+    """Pairs of lines of one epsilon cluster, from the lines' own geometry."""
+    segments = s.power_lines.select(F.col("osm_id").alias("id"), "x1", "y1", "x2", "y2")
+    comp = connected_components(knn.within_epsilon(segments, _EPS))
+    return graph.parallel_pairs(comp.select(F.col("node").alias("osm_id"), F.col("component").alias("cluster_id")))
+
+
 # --- contracts and checks
 
 

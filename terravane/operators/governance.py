@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terravane.operators.ranking import latest
 
@@ -122,6 +123,11 @@ def split(df: DataFrame, contract: Contract, run_id: str = "", source: str = "")
     return clean, letters
 
 
+def schema_of(contract: Contract) -> T.StructType:
+    """The contract's columns as a table schema."""
+    return T.StructType([T.StructField(r.name, T._parse_datatype_string(r.kind), r.nullable) for r in contract.rules])
+
+
 def register_contracts(spark: SparkSession) -> DataFrame:
     rows = [(c.name, 1, c.digest()) for c in CONTRACTS.values()]
     return spark.createDataFrame(rows, "source string, version int, schema_hash string")

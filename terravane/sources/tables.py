@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terravane.functions import geo
 from terravane.operators import upsert
@@ -74,6 +75,29 @@ def update_from(path: str, staged: DataFrame, keys: list[str], columns: list[str
     return truncate_and_load(out.select(*old.columns), path)
 
 
+def migrate(spark: SparkSession, path: str, schema: T.StructType) -> list[str]:
+    """Bring the table at ``path`` to ``schema``: make it if it is missing, add columns as NULL, widen types; what was done.
+
+    Columns that the schema does not have stay. Running it again does nothing.
+    """
+    if not exists(spark, path):
+        truncate_and_load(spark.createDataFrame([], schema), path)
+        return ["made"]
+    old = spark.read.parquet(path)
+    kinds, done, columns = dict(old.dtypes), [], {}
+    for f in schema:
+        kind = f.dataType.simpleString()
+        if f.name not in kinds:
+            columns[f.name] = F.lit(None).cast(kind)
+            done.append(f"added {f.name}")
+        elif kinds[f.name] != kind:
+            columns[f.name] = F.col(f.name).cast(kind)
+            done.append(f"{f.name} to {kind}")
+    if done:
+        truncate_and_load(old.withColumns(columns), path)
+    return done
+
+
 def append_letters(letters: DataFrame, path: str) -> int:
     """Append dead letters with the time of their rejection; how many."""
     n = letters.count()

@@ -65,6 +65,17 @@ def test_table_writers(spark, tmp_path):
     assert [len(b) for b in tables.batches(spark.range(12), 5)] == [5, 5, 2]
 
 
+def test_migrations(spark, tmp_path):
+    path, contract = str(tmp_path / "m"), governance.CONTRACTS["gee.flood"]
+    schema = governance.schema_of(contract)
+    assert [f.name for f in schema] == ["h3_id", "occurrence_pct", "seasonality"] and not schema["h3_id"].nullable
+    assert tables.migrate(spark, path, schema) == ["made"] and tables.migrate(spark, path, schema) == []
+    spark.createDataFrame([("a", 1, "own")], "h3_id string, occurrence_pct int, note string").write.mode("overwrite").parquet(path)
+    assert tables.migrate(spark, path, schema) == ["occurrence_pct to double", "added seasonality"] and tables.migrate(spark, path, schema) == []
+    row = spark.read.parquet(path).first()
+    assert (row.h3_id, row.occurrence_pct, row.note, row.seasonality) == ("a", 1.0, "own", None)
+
+
 def test_chunks_are_computed_once(spark, tmp_path):
     path, calls, seen = str(tmp_path / "zonal"), [], []
     cells = spark.createDataFrame([(i,) for i in (11, 12, 13)], "cell_id long")
