@@ -14,7 +14,7 @@ compared with one head of it (``rounds`` times), and then all remaining pairs of
 group need no link. So a large group of near copies costs rows near its size.
 
 Before sets meet, a pair's histograms do: 256 counts of the shingles' low bytes. The sum of the lesser counts bounds
-the overlap from above, so pairs that fall short of it are out without a loss, and only the few others are compared
+the overlap from above (a count that is full lets the pair through), so pairs that fall short of it are out without a loss, and only the few others are compared
 set by set. Equal sets are one node.
 
 Rows: null and blank texts have the empty set and form one group. A null doc_id keeps its row if all ids of the
@@ -50,13 +50,14 @@ BUCKETS = 256
 
 
 def histogram(items: np.ndarray) -> bytes:
-    """Counts of the shingles by their low byte, as 32-bit integers."""
-    return np.bincount((items & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes()
+    """Counts of the shingles by their low byte, one byte each; 255 stands for that many or more."""
+    return np.minimum(np.bincount((items & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
-def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Rows of two histogram matrices whose sets can have a Jaccard similarity of 4/5 or more."""
-    return 9 * np.minimum(x, y).sum(1, dtype=np.int64) >= 4 * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64))
+def may_be_similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rows of two histogram matrices, of sets of n and m, that can have a Jaccard similarity of 4/5 or more."""
+    low = np.minimum(x, y)
+    return (9 * low.sum(1, dtype=np.int64) >= 4 * (n + m)) | (low == 255).any(1)
 
 
 def prefix(items: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -122,32 +123,38 @@ def _sets(docs: DataFrame, shingle: int, sample: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which is written already, marked for broadcast if it has at most ``rows`` rows of a few numbers."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _compared(pairs: DataFrame, own: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) that pass ``test`` on two lists of bytes of ``own`` (node, bytes)."""
-    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    """The pairs (a, b) that pass ``test`` on two lists of bytes of ``own`` (node, bytes) and on their sets' sizes."""
+    x, y = (own.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bytes").alias(f"bytes{k}")) for k in ("a", "b"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "bytesa", "bytesb", "na", "nb")
 
     def run(batches):
         for b in batches:
-            ok = test(b.column(2).to_pylist(), b.column(3).to_pylist())
+            ok = test(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_numpy(), b.column(5).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _may_be(xs: list, ys: list) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(v), "<u4").reshape(-1, BUCKETS) for v in (xs, ys))
-    return may_be_similar(x, y)
+def _may_be(xs: list, ys: list, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, BUCKETS) for v in (xs, ys))
+    return may_be_similar(x, y, n, m)
 
 
-def _are(xs: list, ys: list) -> list[bool]:
+def _are(xs: list, ys: list, n: np.ndarray, m: np.ndarray) -> list[bool]:
     return [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(xs, ys)]
 
 
-def _verified(pairs: DataFrame, hists: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, hists: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar; sets are read only for the pairs that their histograms let through."""
     able = materialize(_compared(pairs, hists, _may_be), "able")
-    nodes = able.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    items = sets.select("node", "items").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    nodes = _few(materialize(able.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes"), rows)
+    items = sets.select("node", "n", F.col("items").alias("bytes")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
     return _compared(able, items, _are)
 
 
@@ -165,29 +172,31 @@ def _simhash_pairs(sets: DataFrame, radius: int) -> DataFrame:
 def components(sets: DataFrame, rounds: int = 1, radius: int = simhash.RADIUS, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(node, component) of the nodes that link to another."""
     entries = sets.select("node", "n", F.explode("prefix").alias("key"))
-    shared = materialize(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "shared")
-    few = shared.limit(broadcast_rows + 1).count() <= broadcast_rows
-    held = materialize(entries.join(F.broadcast(shared) if few else shared, "key", "left_semi").distinct(), "held")
-    hists = sets.select("node", "hist").join(held.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # copies of a text count here, too; their keys leave with the first round
+    shared = materialize(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "shared")
+    held = materialize(entries.join(_few(shared, broadcast_rows), "key", "left_semi").distinct(), "held")
+    nodes = _few(materialize(held.select("node").distinct(), "nodes"), broadcast_rows)
+    hists = sets.select("node", "n", F.col("hist").alias("bytes")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
     hists = materialize(hists, "hists")
     # similar sets share a shingle of their prefixes, so a SimHash pair without histograms is not similar
-    links = materialize(_verified(_simhash_pairs(sets, radius), hists, sets), "links")
+    links = materialize(_verified(_simhash_pairs(sets, radius), hists, sets, broadcast_rows), "links")
     near = F.expr("5 * least(n, n2) >= 4 * greatest(n, n2)")
     for k in range(rounds + 1):
-        comp = materialize(connected_components(links), "components")
+        comp = _few(materialize(connected_components(links), "components"), broadcast_rows)
         tagged = held.join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-        tagged = materialize(tagged, "tagged")
         head = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("o"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2")))
         live = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), head.alias("head")).filter("lo <> hi")
+        live = _few(materialize(live.select("key", "head.*"), "live"), broadcast_rows)
+        # a key within one group is of no more use
+        tagged = materialize(tagged.join(live.select("key"), "key", "left_semi"), "tagged")
+        held = tagged.drop("c")
         if k < rounds:
-            other = live.select("key", "head.*")
-            met = tagged.join(other, "key").filter((F.col("c") != F.col("c2")) & near)
+            met = tagged.join(live, "key").filter((F.col("c") != F.col("c2")) & near)
         else:
-            left = tagged.join(live.select("key"), "key", "left_semi")
-            other = left.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            met = left.join(other, "key").filter((F.col("c") < F.col("c2")) & near)
+            other = tagged.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+            met = tagged.join(other, "key").filter((F.col("c") < F.col("c2")) & near)
         pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        links = links.unionByName(materialize(_verified(pairs, hists, sets), "links"))
+        links = links.unionByName(materialize(_verified(pairs, hists, sets, broadcast_rows), "links"))
     return materialize(connected_components(links), "components")
 
 
