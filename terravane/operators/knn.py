@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terravane.functions import geo
+from terravane.runtime import materialize
 
 SHIFT = 3  # a level's bins are 2**SHIFT times as wide as those of the one below
 
@@ -91,8 +92,9 @@ def _candidates(cells: DataFrame, targets: DataFrame, size: float, groups: bool)
     """(bx, by, target...): for each bin that holds cells, the targets that can be first (or first of the second group)."""
     laid = _segment_bins(targets, size).withColumnsRenamed({"bx": "tx", "by": "ty"})
     own = ["grp"] if groups else []
-    at = cells.select("bx", "by").distinct()
-    to = laid.select("tx", "ty", *own).distinct()
+    # written, as each level reads them; their sizes are then known to the planner
+    at = materialize(cells.select("bx", "by").distinct(), "bins")
+    to = materialize(laid.select("tx", "ty", *own).distinct(), "bins")
     levels = 0
     while size * (1 << SHIFT * levels) < 180:
         levels += 1
