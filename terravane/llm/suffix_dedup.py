@@ -13,7 +13,8 @@ with a neighbour. Nothing is sampled: the anchors only say which suffixes must m
 are dealt to as many tasks as their counted bytes need, ``task_bytes`` each, so tasks do not grow with the corpus.
 
 Hot anchors. An anchor whose segments exceed ``hot_bytes`` would fill a task. Its windows are named by their 128-bit
-hash instead and counted with map-side aggregation, so they spread over all tasks.
+hash instead and dealt by it to as many groups as the anchor's counted bytes need; a segment's windows of one group
+travel as one row, and equal windows meet in their group.
 
 Sides. A window has at least half of its bytes beside the anchor on one side, so segments that share a window have
 equal bytes on that side, too. A segment whose left and right sides are both its own shares no window with another
@@ -168,8 +169,9 @@ def _shard(length: int, shard_bytes: int, spill: str):
 
 
 def _wanted(texts: DataFrame, wanted: DataFrame, rows, schema: str) -> DataFrame:
-    """What ``rows(segment)`` gives for each wanted segment (t1, t2, lo, hi, h); texts are read once."""
-    want = wanted.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi", "h")).alias("want"))
+    """What ``rows(segment)`` gives for each wanted segment (t1, t2, lo, hi, h, ...); texts are read once."""
+    own = [c for c in wanted.columns if c not in ("t1", "t2")]
+    want = wanted.groupBy("t1", "t2").agg(F.collect_set(F.struct(*own)).alias("want"))
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -187,6 +189,49 @@ def _wanted(texts: DataFrame, wanted: DataFrame, rows, schema: str) -> DataFrame
     return texts.join(want, ["t1", "t2"]).select("text", "want").mapInArrow(run, schema)
 
 
+_WINDOW = np.dtype([("d1", np.int64), ("d2", np.int64)])
+
+
+def _hot_rows(length: int):
+    """(h, b, g1, g2, places, names) of a segment: its windows whose name is of group b, places and names packed."""
+    def rows(raw, x):
+        own = memoryview(raw)[x["lo"] : x["hi"] + length]
+        g = _name(own)
+        names = b"".join(hashlib.md5(own[k : k + length], usedforsecurity=False).digest() for k in range(x["hi"] - x["lo"] + 1))
+        names = np.frombuffer(names, _WINDOW)
+        group = (names["d1"].view(np.uint64) % np.uint64(x["pieces"])).astype(np.int64)
+        out = []
+        for b in np.unique(group).tolist():
+            at = np.flatnonzero(group == b)
+            out.append((x["h"], b, *g, at.astype(np.int32).tobytes(), names[at].tobytes()))
+        return out
+
+    return rows
+
+
+def _hot_groups(batches):
+    """Rows sorted by (h, b): per segment the places of windows that its group holds elsewhere, too."""
+    schema = pa.schema([("h", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("runs", pa.list_(pa.int32()))])
+
+    def flush(held):
+        places = [np.frombuffer(r[4], np.int32) for r in held]
+        names = np.frombuffer(b"".join(r[5] for r in held), _WINDOW)
+        _, own, count = np.unique(names, return_inverse=True, return_counts=True)
+        hit, cut = count[own] > 1, np.cumsum([len(p) for p in places])[:-1]
+        runs = [np.repeat(p[h], 2) for p, h in zip(places, np.split(hit, cut))]
+        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in held], pa.int64()) for k in (0, 2, 3)), pa.array(runs, pa.list_(pa.int32()))], schema=schema)
+
+    held = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if held and row[:2] != held[-1][:2]:
+                yield flush(held)
+                held = []
+            held.append(row)
+    if held:
+        yield flush(held)
+
+
 def _name(segment) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.md5(segment, usedforsecurity=False).digest(), np.int64).tolist())
 
@@ -246,14 +291,15 @@ def duplicate_spans(
     beside = beside[0].unionByName(beside[1])
     several = beside.groupBy("side").agg(F.count("*").alias("c")).filter("c > 1").select("side")
     wanted = materialize(beside.join(several, "side", "left_semi").drop("side").distinct(), "wanted")
-    hot = wanted.groupBy("h").agg(F.sum(F.col("hi") - F.col("lo") + length).alias("b")).filter(F.col("b") > hot_bytes).select("h")
+    hot = wanted.groupBy("h").agg(F.sum(F.col("hi") - F.col("lo") + length).alias("b")).filter(F.col("b") > hot_bytes)
+    hot = hot.select("h", F.ceil(F.col("b") / max(1, hot_bytes)).cast("long").alias("pieces"))
     hot = materialize(hot, "hot")
     n_hot = hot.count()
     total = wanted.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
     if n_hot:
         few = F.broadcast(hot) if n_hot <= broadcast_rows else hot
-        cold, often = wanted.join(few, "h", "left_anti"), wanted.join(few, "h", "left_semi")
+        cold, often = wanted.join(few, "h", "left_anti"), wanted.join(few, "h")
     else:
         cold, often = wanted, None
 
@@ -264,18 +310,9 @@ def duplicate_spans(
     sorted_ = _wanted(texts, cold, segment, "h long, g1 long, g2 long, bytes binary").repartition(tasks, "h").sortWithinPartitions("h", "g1", "g2")
     runs = sorted_.mapInArrow(_shard(length, shard_bytes, shared_dir(spark)), "h long, g1 long, g2 long, runs array<int>").filter(F.size("runs") > 0)
     if often is not None:
-
-        def windows(raw, x):
-            own = memoryview(raw)[x["lo"] : x["hi"] + length]
-            name = (x["h"], *_name(own))
-            return [(*name, k, *_name(own[k : k + length])) for k in range(x["hi"] - x["lo"] + 1)]
-
-        each = materialize(_wanted(texts, often, windows, "h long, g1 long, g2 long, p long, d1 long, d2 long"), "hot-windows")
-        twice = materialize(each.groupBy("d1", "d2").agg(F.count("*").alias("c")).filter("c > 1").select("d1", "d2"), "hot-twice")
-        twice = F.broadcast(twice) if twice.count() <= broadcast_rows else twice
-        met = each.join(twice, ["d1", "d2"], "left_semi").withColumn("p", F.col("p").cast("int"))
-        met = met.groupBy("h", "g1", "g2").agg(F.flatten(F.collect_set(F.array("p", "p"))).alias("runs"))
-        runs = runs.unionByName(met)
+        each = _wanted(texts, often, _hot_rows(length), "h long, b long, g1 long, g2 long, places binary, names binary")
+        met = each.repartition(tasks, "h", "b").sortWithinPartitions("h", "b").mapInArrow(_hot_groups, "h long, g1 long, g2 long, runs array<int>")
+        runs = runs.unionByName(met.filter(F.size("runs") > 0))
     whole = kinds.filter("n > 1").select("h", "g1", "g2", F.array(F.lit(0), F.col("hi") - F.col("lo")).alias("runs"))
     part = runs.join(kinds.filter("n > 1").select("h", "g1", "g2"), ["h", "g1", "g2"], "left_anti")
     hits = whole.unionByName(part).select("h", "g1", "g2", "runs")
