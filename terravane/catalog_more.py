@@ -330,10 +330,10 @@ def contracts_all(s):
                 value = value.cast("string")
             columns.append((F.when(k % 7 != 0, value) if r is needed else value).alias(r.name))
         clean, letters = governance.split(s.customer.select(*columns), contract)
-        count = lambda df, n: df.agg(F.count("*").alias(n))
-        row = count(clean, "kept").crossJoin(count(letters, "rejected")).select(F.lit(name).alias("source"), "kept", "rejected")  # one row each
-        found = row if found is None else found.unionByName(row)
-    return found
+        one = lambda df, kept: df.select(F.lit(name).alias("source"), F.lit(kept).alias("kept"), F.lit(1 - kept).alias("rejected"))  # noqa: B023, E731
+        rows = one(clean, 1).unionByName(one(letters, 0))
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("source").agg(F.sum("kept").alias("kept"), F.sum("rejected").alias("rejected"))
 
 
 _GEOMETRY = {"power_lines": "osm_id", "substations": "osm_id", "highways": "target_id", "water": "target_id", "protected": "osm_id"}

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,6 +11,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from terravane.runtime import local_session
 
-    session = local_session(8, 8)
+    session = local_session(int(os.environ.get("TEST_CPUS", "8")), 8)
     yield session
     session.stop()

@@ -7,7 +7,7 @@ import pytest
 from terravane import catalog
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["dual_feed_distances", "nearest_infra_capped", "exclusion_mask", "score_default", "top_sites_diverse", "state_stats", "score_histogram", "contract_split_rejects", "outage_cells", "zonal_climate_rh", "upsert_preserving"]
+SAMPLE = ["dual_feed_distances", "nearest_infra_capped", "exclusion_mask", "score_default", "top_sites_diverse", "state_stats", "score_histogram", "contract_split_rejects", "outage_cells", "zonal_climate_rh", "upsert_preserving", "graph_nodes", "graph_edges", "contracts_all", "hexgrid_cover", "zones_meet_protected", "parallel_lines"]
 
 
 def same(a, b):
