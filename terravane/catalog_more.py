@@ -103,6 +103,26 @@ def drilldown_children(s):
     return kids.join(states, hexgrid.parent(F.col("child"), 8) == F.col("own")).select("child", "parent_cell", "state_code").distinct()
 
 
+_GX, _GY = _centre_sql("gq", "gr", 6)
+_GQ, _GR = _axial_sql("cell")
+_S6 = hexgrid.size_deg(6)
+
+
+@query(
+    f"WITH a AS (SELECT cell_id, {_cell_sql('lon', 'lat', 6)} AS cell FROM cells), b AS (SELECT cell_id, cell, {_GQ} AS gq, {_GR} AS gr FROM a) "
+    f"SELECT cell_id, lower(to_hex(cell)) AS cell, cell AS back, 7 AS n_corners, round({_GX} + {_S6 * 3**0.5 / 2!r}e0, 6) AS x0, round({_GY} + {_S6 / 2!r}e0, 6) AS y0, round({_GX}, 6) AS cx, round({_GY}, 6) AS cy, "
+    f"{_pack_sql('(gq - 2)', 'gr', 6)} AS low, {_pack_sql('(gq + 2)', 'gr', 6)} AS high, 19 AS n_disk FROM b"
+)
+def cell_geometry(s):
+    """Text and back, corners, centre and the disk of two steps of the cell that holds each point."""
+    rows = s.cells.select("cell_id", hexgrid.cell_at(F.col("lon"), F.col("lat"), 6).alias("c"))
+    corners, centre, disk = hexgrid.boundary(F.col("c"), 6), hexgrid.center(F.col("c"), 6), hexgrid.disk(F.col("c"), 2, 6)
+    return rows.select(
+        "cell_id", hexgrid.to_text(F.col("c")).alias("cell"), hexgrid.from_text(hexgrid.to_text(F.col("c"))).alias("back"), F.size(corners).alias("n_corners"), r6(corners[0]["lon"]).alias("x0"), r6(corners[0]["lat"]).alias("y0"),
+        r6(centre["lon"]).alias("cx"), r6(centre["lat"]).alias("cy"), F.array_min(disk).alias("low"), F.array_max(disk).alias("high"), F.size(disk).alias("n_disk"),
+    )
+
+
 _OX, _OY = "68 + CAST((o_orderkey * 7919) % 29500 AS DOUBLE) / 1000", "6.5 + CAST((o_orderkey * 10473) % 31000 AS DOUBLE) / 1000"
 
 
