@@ -13,9 +13,10 @@ first n - ceil(0.8 n) + 1 with the first ones of the other. Per shared shingle t
 compared with one head of it (``rounds`` times), and then all remaining pairs of different groups; pairs within a
 group need no link. So a large group of near copies costs rows near its size.
 
-Before sets meet, a pair's histograms do: 256 counts of the shingles' low bytes. The sum of the lesser counts bounds
-the overlap from above (a count that is full lets the pair through), so pairs that fall short of it are out without a loss, and only the few others are compared
-set by set. Equal sets are one node.
+Before sets meet, a pair's histograms do: counts of the shingles by their low bits, about an eighth of a long set's
+bytes. The sum of the lesser counts bounds the overlap from above (a count that is full lets the pair through), so
+pairs that fall short of it are out without a loss, and only the few others are compared set by set. Equal sets are
+one node.
 
 Rows: null and blank texts have the empty set and form one group. A null doc_id keeps its row if all ids of the
 group are null.
@@ -46,18 +47,25 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-BUCKETS = 256
+LEAST_BUCKETS = 256
 
 
 def histogram(items: np.ndarray) -> bytes:
-    """Counts of the shingles by their low byte, one byte each; 255 stands for that many or more."""
-    return np.minimum(np.bincount((items & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    """Counts of the shingles by their low bits, one byte each, in as many buckets (a power of two) as half the shingles or more;
+    255 stands for that many or more."""
+    size = LEAST_BUCKETS
+    while 2 * size < len(items):
+        size *= 2
+    return np.minimum(np.bincount((items & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
 
 
-def may_be_similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Rows of two histogram matrices, of sets of n and m, that can have a Jaccard similarity of 4/5 or more."""
-    low = np.minimum(x, y)
-    return (9 * low.sum(1, dtype=np.int64) >= 4 * (n + m)) | (low == 255).any(1)
+def may_be_similar(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """Whether sets of n and m shingles with these histograms can have a Jaccard similarity of 4/5 or more."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    if (a == 255).any() or (b == 255).any():
+        return True
+    size = min(len(a), len(b))  # the finer one is folded
+    return 9 * int(np.minimum(a.reshape(-1, size).sum(0), b.reshape(-1, size).sum(0)).sum()) >= 4 * (n + m)
 
 
 def prefix(items: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -141,9 +149,8 @@ def _compared(pairs: DataFrame, own: DataFrame, test) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _may_be(xs: list, ys: list, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, BUCKETS) for v in (xs, ys))
-    return may_be_similar(x, y, n, m)
+def _may_be(xs: list, ys: list, n: np.ndarray, m: np.ndarray) -> list[bool]:
+    return [may_be_similar(*pair) for pair in zip(xs, ys, n.tolist(), m.tolist())]
 
 
 def _are(xs: list, ys: list, n: np.ndarray, m: np.ndarray) -> list[bool]:
