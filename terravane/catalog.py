@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from terravane import config
 from terravane.functions import classify, geo
-from terravane.functions import transforms as t
 from terravane.operators import governance, knn, ranking, scoring, spatial, upsert, zonal
 from terravane.operators.components import connected_components
 from terravane.plans import graph, readapi

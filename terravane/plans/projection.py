@@ -80,7 +80,7 @@ def scoring(scores: DataFrame, weights: DataFrame, resolution: int = 7, run_id=N
     rows = scores.select("cell_id", "run_id", "score").withColumn("score_key", score_key(resolution=resolution))
     own = [nodes("ScoringRun", scores, "run_id"), nodes("Weight", each, "weight_key", criterion="criterion", weight="weight"), nodes("Score", rows, "score_key", score="score")]
     ties = [edges("APPLIES", each, "run_id", "weight_key"), edges("HAS_SCORE", rows, "cell_id", "score_key"), edges("DERIVED_FROM", rows, "score_key", "run_id")]
-    used = rows.select("score_key", "run_id").join(F.broadcast(each.select("run_id", "weight_key")), "run_id")  # a row for each run and criterion
+    used = rows.select("score_key", "run_id").join(each.select("run_id", "weight_key"), "run_id")
     return _all(own), _all([*ties, edges("USES_WEIGHTS", used, "score_key", "weight_key")])
 
 
