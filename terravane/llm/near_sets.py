@@ -7,9 +7,12 @@ finds all such pairs. So the stage works in two steps, and its result is that of
 SimHash. Fingerprints are linked by the vantage-point trees of ``simhash`` at ``radius`` bits; texts of one
 fingerprint link to its first. Each link is verified on the sets. This groups the close copies, however many.
 
-Completion. Shingles are 64-bit hashes, put in one order for all texts: those that are common in a bounded sample
-come last (the sample shapes the order only). A set of n shingles that is 0.8 similar to another shares one of its
-first n - ceil(0.8 n) + 1 with the first ones of the other. Per shared shingle the nodes of different groups are
+Completion. Shingles are 64-bit hashes, put in one order for all texts, common ones last. A set of n shingles that is
+0.8 similar to another shares one of its first n - ceil(0.8 n) + 1 with the first ones of the other. A shingle is
+common if more than ``often`` texts have it among their first ones, as counted; the order is made anew with these
+until none is left or ``passes`` are over (at most ``most_common`` are held; beyond that ``often`` is doubled). So a
+passage of many texts brings them together only if they are little else, and a text meets a bounded number of
+others. The order never changes the result. Per shared shingle the nodes of different groups are
 compared with one head of it (``rounds`` times), and then all remaining pairs of different groups; pairs within a
 group need no link. So a large group of near copies costs rows near its size.
 
@@ -68,22 +71,22 @@ def may_be_similar(x: bytes, y: bytes, n: int, m: int) -> bool:
     return 9 * int(np.minimum(a.reshape(-1, size).sum(0), b.reshape(-1, size).sum(0)).sum()) >= 4 * (n + m)
 
 
-def prefix(items: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles: not common ones first, then by hash."""
-    order = np.zeros(len(items), np.int64)
-    if len(common):
+def prefix(items: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 shingles: those that are not common first, then by hash. Both arrays are sorted."""
+    if len(common) and len(items):
         at = np.minimum(np.searchsorted(common, items), len(common) - 1)
-        order = np.where(common[at] == items, rank[at], 0)
-    return items[np.lexsort((items, order))[: len(items) - -(-4 * len(items) // 5) + 1]]
+        held = common[at] == items
+        items = np.concatenate([items[~held], items[held]])
+    return items[: len(items) - -(-4 * len(items) // 5) + 1]
 
 
 def _name(items: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(items.tobytes(), SEED)
 
 
-def _with_node(docs: DataFrame, shingle: int) -> DataFrame:
+def _with_node(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     """``docs`` with _own, the name of the text's shingle set."""
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
 
     def run(batches):
         for b in batches:
@@ -94,43 +97,59 @@ def _with_node(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("_own")).schema)
 
 
-def _common(docs: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles that several sampled texts have, in how many); at most half as many as the sample has shingles."""
-    rows = docs.select("text").orderBy(F.xxhash64("text")).limit(sample).distinct()
-
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t or b"", shingle) for t in b.column(0).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))})
-
-    found = rows.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).filter("c > 2").orderBy("h").collect()
-    hashes, count = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.c for r in found], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], count[order]
-
-
-def _sets(docs: DataFrame, shingle: int, sample: int) -> DataFrame:
-    """(doc_id, node, fp, n, prefix, hist, items) of each text."""
-    common, rank = _common(docs, shingle, sample)
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, node, fp, n, hist, items) of each text."""
 
     def run(batches):
         for b in batches:
             hashes = [simhash.shingle_hashes(t or b"", shingle) for t in b.column(1).cast(pa.large_binary()).to_pylist()]
             sets = [np.unique(h) for h in hashes]
             fp = np.fromiter(map(simhash.majority, hashes), np.uint64, len(hashes)).view(np.int64)
-            first = [prefix(s, common, rank) if len(s) else s for s in sets]
-            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            firsts = np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)
             node = np.fromiter(map(_name, sets), np.uint64, len(sets)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(node), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(firsts)), pa.array([histogram(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["doc_id", "node", "fp", "n", "prefix", "hist", "items"],
+                [b.column(0), pa.array(node), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["doc_id", "node", "fp", "n", "hist", "items"],
             )
 
-    schema = docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("node", "fp", "n")), F.array(F.lit(0).cast("long")).alias("prefix"), F.lit(b"").alias("hist"), F.lit(b"").alias("items")).schema
+    schema = docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("node", "fp", "n")), F.lit(b"").alias("hist"), F.lit(b"").alias("items")).schema
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _entries(sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """(node, n, key) for each of a set's first shingles."""
+    shared = sets.sparkSession.sparkContext.broadcast(common)  # most_common numbers at most
+
+    def run(batches):
+        common = shared.value
+        for b in batches:
+            first = [prefix(np.frombuffer(x, np.uint64), common) for x in b.column(2).to_pylist()]
+            size = [len(f) for f in first]
+            at = np.repeat(np.arange(len(first)), size)
+            keys = np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(keys)], ["node", "n", "key"])
+
+    return sets.select("node", "n", "items").mapInArrow(run, "node long, n long, key long")
+
+
+def _ordered(sets: DataFrame, often: int, passes: int, most_common: int) -> tuple[DataFrame, DataFrame]:
+    """(entries, keys that several entries have) in an order in which few keys are common."""
+    common = np.zeros(0, np.uint64)
+    for k in range(passes):
+        entries = _entries(sets, common)
+        # copies of a text count here, too; their keys leave with the first round
+        shared = materialize(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
+        hot = shared.filter(F.col("c") > often)
+        while hot.count() + len(common) > most_common:
+            often *= 2
+            hot = shared.filter(F.col("c") > often)
+        found = np.unique(hot.select("key").toArrow()["key"].to_numpy().view(np.uint64))
+        fresh = np.setdiff1d(found, common)
+        if k == passes - 1 or not len(fresh):
+            break
+        common = np.union1d(common, fresh)
+    return entries, shared.select("key")
+
+
 def _few(df: DataFrame, rows: int) -> DataFrame:
     """``df``, which is written already, marked for broadcast if it has at most ``rows`` rows of a few numbers."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -176,11 +195,11 @@ def _simhash_pairs(sets: DataFrame, radius: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(sets: DataFrame, rounds: int = 1, radius: int = simhash.RADIUS, broadcast_rows: int = 1_000_000) -> DataFrame:
+def components(
+    sets: DataFrame, rounds: int = 1, radius: int = simhash.RADIUS, broadcast_rows: int = 1_000_000, often: int = 64, passes: int = 3, most_common: int = 1_000_000
+) -> DataFrame:
     """(node, component) of the nodes that link to another."""
-    entries = sets.select("node", "n", F.explode("prefix").alias("key"))
-    # copies of a text count here, too; their keys leave with the first round
-    shared = materialize(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "shared")
+    entries, shared = _ordered(sets, often, passes, most_common)
     held = materialize(entries.join(_few(shared, broadcast_rows), "key", "left_semi").distinct(), "held")
     nodes = _few(materialize(held.select("node").distinct(), "nodes"), broadcast_rows)
     hists = sets.select("node", "n", F.col("hist").alias("bytes")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
@@ -207,19 +226,25 @@ def components(sets: DataFrame, rounds: int = 1, radius: int = simhash.RADIUS, b
     return materialize(connected_components(links), "components")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, sample: int = 2000, broadcast_rows: int = 1_000_000, **search) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, broadcast_rows: int = 1_000_000, **search) -> DataFrame:
     """One row of each group of similar texts: that of the smallest doc_id. Columns as in ``docs``."""
     ship(docs.sparkSession)
-    sets = materialize(_sets(docs, shingle, sample), "sets")
-    comp = components(sets, **search)
+    sets = materialize(_sets(docs, shingle), "sets")
+    comp = _few(components(sets, broadcast_rows=broadcast_rows, **search), broadcast_rows)
     table = sets.select("doc_id", "node").join(comp, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     lows = table.groupBy("component").agg(F.min("doc_id").alias("low"))
     keep = table.join(lows, "component").filter(F.col("doc_id").eqNullSafe(F.col("low")))
     # rows that share id and group: one of their sets stays
-    keep = keep.groupBy(F.col("doc_id").alias("_id"), "component").agg(F.min("node").alias("_node")).drop("component")
+    keep = keep.groupBy(F.col("doc_id").alias("_id"), "component").agg(F.min("node").alias("_node"), F.count("*").alias("_rows")).drop("component")
     keep = materialize(keep, "keep")
-    few = keep.limit(broadcast_rows + 1).count() <= broadcast_rows
-    out = _with_node(docs, shingle)
-    hit = out["doc_id"].eqNullSafe(keep["_id"]) & (out["_own"] == keep["_node"])
-    kept = out.join(F.broadcast(keep) if few else keep, hit, "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    repeated = not keep.filter("_rows > 1").isEmpty()
+    # own names, as docs may have columns of any name
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    doc, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    out = _with_node(plain, text, shingle)
+    hit = out[doc].eqNullSafe(keep["_id"]) & (out["_own"] == keep["_node"])
+    kept = out.join(_few(keep.select("_id", "_node"), broadcast_rows), hit, "left_semi")
+    if repeated:  # and one of the rows that share id and set
+        kept = kept.dropDuplicates([doc, "_own"])
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
