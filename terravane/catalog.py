@@ -130,7 +130,7 @@ def subgrid_components(s):
 @query("SELECT c.cell_id, min(p.osm_id) AS area_id FROM cells c JOIN protected p ON c.lon > p.x_lo AND c.lon < p.x_hi AND c.lat > p.y_lo AND c.lat < p.y_hi GROUP BY c.cell_id")
 def state_stamp_pip(s):
     areas = _protected_rings(s).select("osm_id", F.array("ring").alias("rings"))
-    met = spatial.points_in(s.cells, areas)
+    met = spatial.points_in(s.cells, areas, border=False)
     return met.groupBy("cell_id").agg(F.min("osm_id").alias("area_id"))
 
 

@@ -37,7 +37,7 @@ def _edges(rings: Column) -> Column:
 
 
 def in_rings(lon: Column, lat: Column, rings: Column) -> Column:
-    """Whether a point lies inside an odd number of rings. NULL rings hold nothing."""
+    """Whether a point lies inside an odd number of rings; on an edge it may be either, see ``on_rings``. NULL rings hold nothing."""
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
         x = a["lon"] + (lat - a["lat"]) / F.when(a["lat"] == b["lat"], None).otherwise(b["lat"] - a["lat"]) * (b["lon"] - a["lon"])
@@ -47,6 +47,16 @@ def in_rings(lon: Column, lat: Column, rings: Column) -> Column:
     return F.coalesce(count % 2 == 1, F.lit(False))
 
 
+def on_rings(lon: Column, lat: Column, rings: Column) -> Column:
+    """Whether a point lies on an edge of a ring, corners included. NULL rings hold nothing."""
+    def holds(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        level = (b["lon"] - a["lon"]) * (lat - a["lat"]) == (b["lat"] - a["lat"]) * (lon - a["lon"])
+        return level & lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])) & lat.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"]))
+
+    return F.coalesce(F.exists(_edges(rings), holds), F.lit(False))
+
+
 def box(rings: Column) -> Column:
     """(x_lo, y_lo, x_hi, y_hi) of all rings."""
     p = F.flatten(rings)

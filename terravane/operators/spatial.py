@@ -17,18 +17,20 @@ def _box_bins(areas: DataFrame, size: float) -> DataFrame:
     return rows.withColumn("bx", spread(b["x_lo"], b["x_hi"])).withColumn("by", spread(b["y_lo"], b["y_hi"]))
 
 
-def points_in(points: DataFrame, areas: DataFrame, size: float = 0.5) -> DataFrame:
-    """``points`` (lon, lat, ...) with the columns of every area (rings, ...) that holds them."""
+def points_in(points: DataFrame, areas: DataFrame, size: float = 0.5, border: bool = True) -> DataFrame:
+    """``points`` (lon, lat, ...) with the columns of every area (rings, ...) that holds them; those on an edge only with ``border``."""
     at = points.withColumns({"bx": F.floor(F.col("lon") / size), "by": F.floor(F.col("lat") / size)})
     met = at.join(_box_bins(areas, size), ["bx", "by"])
     inside = F.col("lon").between(F.col("_box.x_lo"), F.col("_box.x_hi")) & F.col("lat").between(F.col("_box.y_lo"), F.col("_box.y_hi"))
-    met = met.filter(inside).filter(polygons.in_rings(F.col("lon"), F.col("lat"), F.col("rings")))
+    at = F.col("lon"), F.col("lat"), F.col("rings")
+    met = met.filter(inside)
+    met = met.filter(polygons.in_rings(*at) | polygons.on_rings(*at)) if border else met.filter(polygons.in_rings(*at) & ~polygons.on_rings(*at))
     return met.drop("bx", "by", "_box", "rings")
 
 
-def stamp(points: DataFrame, areas: DataFrame, key: str, code: str, size: float = 0.5) -> DataFrame:
+def stamp(points: DataFrame, areas: DataFrame, key: str, code: str, size: float = 0.5, border: bool = True) -> DataFrame:
     """``points`` with ``code`` filled where it is NULL from the area that holds them; of several the least code."""
-    found = points_in(points.filter(F.col(code).isNull()).select(key, "lon", "lat"), areas.select(F.col(code).alias("_code"), "rings"), size)
+    found = points_in(points.filter(F.col(code).isNull()).select(key, "lon", "lat"), areas.select(F.col(code).alias("_code"), "rings"), size, border)
     found = found.groupBy(key).agg(F.min("_code").alias("_code"))
     return points.join(found, key, "left").withColumn(code, F.coalesce(code, "_code")).drop("_code")
 
