@@ -159,7 +159,7 @@ def stamp_with_holes(s):
     whole, hole = _rect(c("x_lo"), c("y_lo"), c("x_hi"), c("y_hi")), _rect(c("x_lo") + d, c("y_lo") + d, c("x_hi") - d, c("y_hi") - d)
     areas = s.protected.select(c("osm_id").alias("area_id"), polygons.wkt_rings(polygons.rings_wkt(F.array(whole, hole))).alias("rings"))
     cells = s.cells.withColumn("area_id", F.lit(None).cast("int"))
-    return spatial.stamp(cells, areas, "cell_id", "area_id").filter("area_id is not null").select("cell_id", "area_id")
+    return spatial.stamp(cells, areas, "cell_id", "area_id", border=False).filter("area_id is not null").select("cell_id", "area_id")
 
 
 @query("SELECT n_regionkey AS code, 1 AS n_rings, CAST(count(*) AS DOUBLE) AS area FROM nation GROUP BY n_regionkey")

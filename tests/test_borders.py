@@ -13,7 +13,7 @@ from tests.test_spatial import RINGS, _rings
 ON_EDGE = [8500, 10000, 11500, 36500]
 
 
-@pytest.mark.parametrize("name", ["state_stamp_pip", "exclusion_mask", "exclusion_reasons_exploded"])
+@pytest.mark.parametrize("name", ["state_stamp_pip", "exclusion_mask", "exclusion_reasons_exploded", "stamp_with_holes"])
 def test_cells_on_an_edge_against_sql(spark, tmp_path, name):
     con = duckdb.connect()
     for t in ("region", "nation"):
