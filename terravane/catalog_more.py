@@ -9,7 +9,6 @@ from terravane import config
 from terravane.catalog import _TWO, _TYPE, _lines, _protected_rings, query, r6
 from terravane.functions import classify, geo, h3bits, hexgrid, polygons
 from terravane.operators import governance, knn, spatial, upsert, zonal
-from terravane.operators.components import connected_components
 from terravane.plans import graph, projection, readapi
 from terravane.sources import vector
 
@@ -308,8 +307,8 @@ _APART = (
 def parallel_lines(s):
     """Pairs of lines of one epsilon cluster, from the lines' own geometry."""
     segments = s.power_lines.select(F.col("osm_id").alias("id"), "x1", "y1", "x2", "y2")
-    comp = connected_components(knn.within_epsilon(segments, _EPS))
-    return graph.parallel_pairs(comp.select(F.col("node").alias("osm_id"), F.col("component").alias("cluster_id")))
+    found = knn.epsilon_clusters(segments, _EPS)
+    return graph.parallel_pairs(found.select(F.col("id").alias("osm_id"), F.col("cluster").alias("cluster_id")))
 
 
 # --- contracts and checks

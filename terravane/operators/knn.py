@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terravane.functions import geo
+from terravane.operators.components import connected_components
 from terravane.runtime import materialize
 
 SHIFT = 3  # a level's bins are 2**SHIFT times as wide as those of the one below
@@ -159,12 +160,8 @@ def within_nearest(left: DataFrame, right: DataFrame, km: float = 1.0, box_deg:
     return best.select("left_id", "m.right_id", "m.km")
 
 
-def within_epsilon(points: DataFrame, eps: float) -> DataFrame:
-    """(a, b) with a < b: segments (id, x1, y1, x2, y2) whose planar distance is at most eps."""
-    size = max(eps, 1e-9) * 4
-    names = {c: f"{c}_b" for c in ("id", "x1", "y1", "x2", "y2")}
-    plain = _segment_bins(points, size).withColumnsRenamed(names)
-    pairs = _segment_bins(points, size, eps).join(plain, ["bx", "by"]).filter("id < id_b")
+def _within(eps: float) -> Column:
+    """Whether the planar distance of segments (x1, y1, x2, y2) and (x1_b, ...) is at most eps."""
     seg, other = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(f"{c}_b") for c in ("x1", "y1", "x2", "y2")]
     ends = [
         geo.segment_distance(seg[0], seg[1], *other)[0],
@@ -178,5 +175,47 @@ def within_epsilon(points: DataFrame, eps: float) -> DataFrame:
 
     a, b, c, d = seg[:2], seg[2:], other[:2], other[2:]
     cross = (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
-    dist = F.when(cross, 0.0).otherwise(F.least(*ends))
-    return pairs.filter(dist <= eps).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    return F.when(cross, 0.0).otherwise(F.least(*ends)) <= eps
+
+
+def within_epsilon(points: DataFrame, eps: float) -> DataFrame:
+    """(a, b) with a < b: segments (id, x1, y1, x2, y2) whose planar distance is at most eps."""
+    size = max(eps, 1e-9) * 4
+    names = {c: f"{c}_b" for c in ("id", "x1", "y1", "x2", "y2")}
+    plain = _segment_bins(points, size).withColumnsRenamed(names)
+    pairs = _segment_bins(points, size, eps).join(plain, ["bx", "by"]).filter("id < id_b")
+    return pairs.filter(_within(eps)).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def epsilon_clusters(points: DataFrame, eps: float) -> DataFrame:
+    """(id, cluster): the components of the segments (id, x1, y1, x2, y2) whose planar distance is at most eps, each
+    named by its smallest id. Segments without finite coordinates are in none.
+
+    Ends in one small bin, whose diagonal is less than eps, need no distance: they link to the bin's head, in two grids
+    half a bin apart. Only segments that are then still of different clusters are compared, and only in bins that
+    several clusters reach. So a dense cluster costs rows near its size, not its pairs.
+    """
+    ends = ("x1", "y1", "x2", "y2")
+    points = points.select("id", *ends).filter(F.col("id").isNotNull())
+    for c in ends:
+        points = points.filter(F.abs(c) < float("inf"))
+    tagged = points.withColumn("c", F.col("id"))
+
+    def joined(links: DataFrame) -> DataFrame:
+        comp = materialize(connected_components(links), "components").toDF("c", "_to")
+        return materialize(tagged.join(comp, "c", "left").select("id", *ends, F.coalesce("_to", "c").alias("c")), "tagged")
+
+    for shift in (0.0, 0.5) if eps >= 1e-6 else ():
+        side = 0.7 * eps  # a diagonal of 0.99 eps
+        at = lambda x, y: F.struct(*(F.floor(F.col(k) / side + shift).alias(n) for k, n in ((x, "x"), (y, "y"))))
+        laid = tagged.select("c", F.explode(F.array(at("x1", "y1"), at("x2", "y2"))).alias("bin")).distinct()
+        heads = laid.groupBy("bin").agg(F.min("c").alias("head"))
+        tagged = joined(laid.join(heads, "bin").filter("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b")).distinct())
+    size = max(eps, 1e-9) * 4
+    near = _segment_bins(tagged, size, eps)
+    # a bin within one cluster links nothing new
+    live = materialize(near.groupBy("bx", "by").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("bx", "by"), "bins")
+    plain = _segment_bins(tagged, size).join(live, ["bx", "by"], "left_semi").withColumnsRenamed({c: f"{c}_b" for c in ("id", "c", *ends)})
+    pairs = near.join(live, ["bx", "by"], "left_semi").join(plain, ["bx", "by"]).filter("c < c_b")
+    tagged = joined(pairs.filter(_within(eps)).select(F.col("c").alias("a"), F.col("c_b").alias("b")).distinct())
+    return tagged.select("id", F.col("c").alias("cluster")).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from terravane.config import REASONS
 from terravane.functions import classify, geo
+from terravane.runtime import materialize
 
 
 def nodes(label: str, df: DataFrame, key: str, **props) -> DataFrame:
@@ -32,10 +33,23 @@ def subgrid_rollup(lines: DataFrame) -> DataFrame:
     return lines.filter("subgrid is not null").groupBy("subgrid").agg(F.count("*").alias("n_lines"), F.sum("voltage_kv").alias("total_kv"))
 
 
-def parallel_pairs(lines: DataFrame, cluster: str = "cluster_id") -> DataFrame:
-    a = lines.select(F.col("osm_id").alias("a"), F.col(cluster).alias("c"))
-    b = lines.select(F.col("osm_id").alias("b"), F.col(cluster).alias("c"))
-    return a.join(b, "c").filter("a < b").select("a", "b")
+def parallel_pairs(lines: DataFrame, cluster: str = "cluster_id", chunk: int = 2048) -> DataFrame:
+    """(a, b) with a < b: all pairs of lines of one cluster.
+
+    Clusters are dealt by hash into chunks of about ``chunk`` ids, and every two chunks of a cluster make a block of pairs,
+    so that one large cluster is many tasks' work; a chunk travels packed, as one row.
+    """
+    own = lines.select("osm_id", F.col(cluster).alias("c")).filter("osm_id is not null and c is not null")
+    sizes = own.groupBy("c").agg(F.ceil(F.count("*") / chunk).alias("g"))
+    dealt = own.join(sizes, "c").withColumn("p", F.pmod(F.xxhash64("osm_id"), F.col("g")))
+    packed = materialize(dealt.groupBy("c", "g", "p").agg(F.collect_list("osm_id").alias("ids")), "chunks")
+    blocks = packed.agg(F.coalesce(F.sum(F.col("g") - F.col("p")), F.lit(0)).alias("n")).first().n
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 16))
+    spread = lambda first, last: F.explode(F.sequence(first, last))
+    left = packed.select("c", "p", spread(F.col("p"), F.col("g") - 1).alias("q"), F.col("ids").alias("xs")).repartition(tasks, "c", "p", "q")
+    right = packed.select("c", F.col("p").alias("q"), spread(F.lit(0).cast("long"), F.col("p")).alias("p"), F.col("ids").alias("ys")).repartition(tasks, "c", "p", "q")
+    met = left.join(right, ["c", "p", "q"]).select("p", "q", F.explode("xs").alias("x"), "ys").select("p", "q", "x", F.explode("ys").alias("y"))
+    return met.filter("p < q or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def operators(lines: DataFrame, substations: DataFrame) -> DataFrame:
