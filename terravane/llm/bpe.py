@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.runtime import ship
+from terravane.runtime import lean, ship
 
 
 @lru_cache(maxsize=2)
@@ -194,9 +194,9 @@ def encode(
         ids = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
         return pa.table({key: pa.array(keys, left.schema.field("keys").type.value_type), "ids": ids})
 
-    cut = source.mapInArrow(words, "bucket int, chunk long, numbers binary, words binary")
-    back = cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, "chunk long, numbers binary, lens binary, ids binary")
-    rows = source.mapInArrow(texts_, f"chunk long, keys array<{kind}>, sizes binary, packed binary")
+    cut = source.mapInArrow(lean(words), "bucket int, chunk long, numbers binary, words binary")
+    back = cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(encode_words), "chunk long, numbers binary, lens binary, ids binary")
+    rows = source.mapInArrow(lean(texts_), f"chunk long, keys array<{kind}>, sizes binary, packed binary")
     return rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(assemble, f"{key} {kind}, ids array<int>")
 
 
@@ -227,4 +227,4 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "de
             rows = [None if g else bytes(body[x:y]) for g, x, y in zip(gone, cut[:-1].tolist(), cut[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.binary())], [*b.schema.names, out])
 
-    return encoded.mapInArrow(run, encoded.select("*", F.lit(b"").alias(out)).schema)
+    return encoded.mapInArrow(lean(run), encoded.select("*", F.lit(b"").alias(out)).schema)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from terravane.llm import simhash
 from terravane.operators.components import connected_components
-from terravane.runtime import materialize, ship
+from terravane.runtime import lean, materialize, ship
 
 SHINGLE, SEED = 5, 42
 
@@ -94,7 +94,7 @@ def _with_node(docs: DataFrame, text: str, shingle: int) -> DataFrame:
             own = np.fromiter((_name(shingle_set(t or b"", shingle)) for t in raw), np.uint64, len(raw)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], [*b.schema.names, "_own"])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("_own")).schema)
+    return docs.mapInArrow(lean(run), docs.select("*", F.lit(0).cast("long").alias("_own")).schema)
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
             )
 
     schema = docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("node", "fp", "n")), F.lit(b"").alias("hist"), F.lit(b"").alias("items")).schema
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def _entries(sets: DataFrame, common: np.ndarray) -> DataFrame:
@@ -128,7 +128,7 @@ def _entries(sets: DataFrame, common: np.ndarray) -> DataFrame:
             keys = np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(keys)], ["node", "n", "key"])
 
-    return sets.select("node", "n", "items").mapInArrow(run, "node long, n long, key long")
+    return sets.select("node", "n", "items").mapInArrow(lean(run), "node long, n long, key long")
 
 
 def _ordered(sets: DataFrame, often: int, passes: int, most_common: int) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +165,7 @@ def _compared(pairs: DataFrame, own: DataFrame, test) -> DataFrame:
             ok = test(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_numpy(), b.column(5).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _may_be(xs: list, ys: list, n: np.ndarray, m: np.ndarray) -> list[bool]:

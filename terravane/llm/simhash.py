@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.operators.components import connected_components
-from terravane.runtime import materialize, ship
+from terravane.runtime import lean, materialize, ship
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 
@@ -72,7 +72,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shing
             fp = np.fromiter((fingerprint(t or b"", shingle) for t in raw), np.uint64, len(raw)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, out])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(out)).schema)
+    return docs.mapInArrow(lean(run), docs.select("*", F.lit(0).cast("long").alias(out)).schema)
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:
@@ -230,7 +230,7 @@ def fingerprint_links(
             {"shard": pa.array(list(seen), pa.int32()), "home": pa.array([x[0] for x in seen.values()], pa.int64()), "all": pa.array([x[1] for x in seen.values()], pa.int64())}
         )
 
-    sizes = fps.select("fp").mapInArrow(counts, "shard int, home long, all long").groupBy("shard")
+    sizes = fps.select("fp").mapInArrow(lean(counts), "shard int, home long, all long").groupBy("shard")
     grid = {
         r.shard: max(1, -(-max(r.home, r.all // 4) // (2 * shard_rows)))
         for r in sizes.agg(F.sum("home").alias("home"), F.sum("all").alias("all")).collect()
@@ -262,7 +262,7 @@ def fingerprint_links(
         back = all_fps.view(np.int64)
         return pa.table({"a": pa.array(back[a]), "b": pa.array(back[b])})
 
-    dealt = fps.select("fp").mapInArrow(deal, "shard int, i int, j int, fp long, is_data boolean")
+    dealt = fps.select("fp").mapInArrow(lean(deal), "shard int, i int, j int, fp long, is_data boolean")
     return dealt.groupBy("shard", "i", "j").applyInArrow(links, "a long, b long")
 
 

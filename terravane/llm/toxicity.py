@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.runtime import ship
+from terravane.runtime import lean, ship
 
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+")
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 800, max_neg: int = 1
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(counted, f"doc_id {kind}, toxic int, w array<string>, n array<int>").toArrow().combine_chunks()
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(lean(counted), f"doc_id {kind}, toxic int, w array<string>, n array<int>").toArrow().combine_chunks()
     toxic = np.array(rows["toxic"].to_pylist(), np.int64)
     size = np.array([len(x) for x in rows["n"].to_pylist()], np.int64)
     flat = [x.flatten() for c in ("w", "n") for x in [rows[c].combine_chunks()]]
@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_pos: int = 800, max_neg: int = 1
                 n += 1
         yield pa.RecordBatch.from_pydict({"t": pa.array([-1, *(terms[w] for w in df)], pa.int32()), "n": pa.array([n, *df.values()], pa.int64())})
 
-    seen = docs.select("text").mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    seen = docs.select("text").mapInArrow(lean(frequency), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(terms) + 1)
     df[seen["t"].to_numpy()] = seen["n"].to_numpy()  # -1, the last place, is the number of documents
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
@@ -307,7 +307,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", evidence: int
             )
 
     out = docs.select("*", F.lit(0.0).alias("score"), F.array(F.lit("")).alias("evidence_ids"), F.array(F.lit(0.0)).alias("evidence_cosines"))
-    return docs.mapInArrow(run, out.schema)
+    return docs.mapInArrow(lean(run), out.schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
