@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from terravane.llm import simhash
 from terravane.operators.components import connected_components
-from terravane.runtime import lean, materialize, ship
+from terravane.runtime import lean, materialize, scratch, ship
 
 SHINGLE, SEED = 5, 42
 
@@ -229,14 +229,16 @@ def components(
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, broadcast_rows: int = 1_000_000, **search) -> DataFrame:
     """One row of each group of similar texts: that of the smallest doc_id. Columns as in ``docs``."""
     ship(docs.sparkSession)
-    sets = materialize(_sets(docs, shingle), "sets")
-    comp = _few(components(sets, broadcast_rows=broadcast_rows, **search), broadcast_rows)
-    table = sets.select("doc_id", "node").join(comp, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
-    lows = table.groupBy("component").agg(F.min("doc_id").alias("low"))
-    keep = table.join(lows, "component").filter(F.col("doc_id").eqNullSafe(F.col("low")))
-    # rows that share id and group: one of their sets stays
-    keep = keep.groupBy(F.col("doc_id").alias("_id"), "component").agg(F.min("node").alias("_node"), F.count("*").alias("_rows")).drop("component")
-    keep = materialize(keep, "keep")
+    with scratch(docs.sparkSession) as kept_tables:  # what follows reads docs and this table only
+        sets = materialize(_sets(docs, shingle), "sets")
+        comp = _few(components(sets, broadcast_rows=broadcast_rows, **search), broadcast_rows)
+        table = sets.select("doc_id", "node").join(comp, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+        lows = table.groupBy("component").agg(F.min("doc_id").alias("low"))
+        keep = table.join(lows, "component").filter(F.col("doc_id").eqNullSafe(F.col("low")))
+        # rows that share id and group: one of their sets stays
+        keep = keep.groupBy(F.col("doc_id").alias("_id"), "component").agg(F.min("node").alias("_node"), F.count("*").alias("_rows")).drop("component")
+        keep = materialize(keep, "keep")
+        kept_tables.append(keep)
     repeated = not keep.filter("_rows > 1").isEmpty()
     # own names, as docs may have columns of any name
     names = [f"c{k}" for k in range(len(docs.columns))]

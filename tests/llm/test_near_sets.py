@@ -66,3 +66,24 @@ def test_keep_one_rows(spark):
     got = near_sets.keep_one(spark.createDataFrame(rows, SCHEMA).withColumn("node", F.lit(1)))
     assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 3] and got.columns[-1] == "node"
     assert near_sets.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_keep_one_leaves_one_table_only(spark):
+    from pathlib import Path
+
+    from terravane import runtime
+
+    folder = Path(runtime.shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()}
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 3}_{k}" for k in range(40)) + (" more" if i % 3 else "")) for i in range(30)], "doc_id long, text string")
+    kept = near_sets.keep_one(docs)
+    left = {p.name for p in folder.iterdir()} - before
+    assert len(left) == 1 and next(iter(left)).startswith("keep-")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 30, 3))
+
+
+def test_lean_functions_give_the_same_batches(spark):
+    from terravane.runtime import lean
+
+    assert list(lean(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4]
+    assert spark.range(10).mapInArrow(lean(lambda batches: batches), "id long").count() == 10
