@@ -43,7 +43,7 @@ def test_points_on_an_edge_count_as_asked(spark, border):
     assert {(r.id, r.code) for r in stamped} == want - both
 
 
-@pytest.mark.parametrize("name", ["exclusion_mask"])
+@pytest.mark.parametrize("name", ["exclusion_mask", "exclusion_reasons_exploded"])
 def test_every_cell_on_an_edge_against_sql(spark, tmp_path, name):
     con = duckdb.connect()
     for t in ("region", "nation"):
