@@ -36,20 +36,25 @@ def subgrid_rollup(lines: DataFrame) -> DataFrame:
 def parallel_pairs(lines: DataFrame, cluster: str = "cluster_id", chunk: int = 2048) -> DataFrame:
     """(a, b) with a < b: all pairs of lines of one cluster.
 
-    Clusters are dealt by hash into chunks of about ``chunk`` ids, and every two chunks of a cluster make a block of pairs,
-    so that one large cluster is many tasks' work; a chunk travels packed, as one row.
+    A cluster's ids, in order, are dealt into chunks of at most ``chunk``, and every two chunks of a cluster make a block
+    of pairs, so that one large cluster is many tasks' work; a chunk travels packed, as one row. Only numbering the ids is
+    one task's work for a cluster, of n rows where its pairs are n * n / 2.
+
+    Generated code holds back every row that it makes of one input row, as a copy each. So the first ids of a block are
+    rows before they meet the second ones (the sort of a merge join parts the two steps), and a task holds ``chunk`` pairs
+    at a time, not a block of their square. In the order of ids the pairs also pack well: a stays the same for a chunk.
     """
     own = lines.select("osm_id", F.col(cluster).alias("c")).filter("osm_id is not null and c is not null")
-    sizes = own.groupBy("c").agg(F.ceil(F.count("*") / chunk).alias("g"))
-    dealt = own.join(sizes, "c").withColumn("p", F.pmod(F.xxhash64("osm_id"), F.col("g")))
-    packed = materialize(dealt.groupBy("c", "g", "p").agg(F.collect_list("osm_id").alias("ids")), "chunks")
+    ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy("osm_id"))).withColumn("n", F.count("*").over(Window.partitionBy("c")))
+    dealt = ranked.withColumn("g", F.ceil(F.col("n") / chunk)).withColumn("p", F.expr("(k - 1) * g div n"))
+    packed = materialize(dealt.groupBy("c", "g", "p").agg(F.sort_array(F.collect_list("osm_id")).alias("ids")), "chunks")
     blocks = packed.agg(F.coalesce(F.sum(F.col("g") - F.col("p")), F.lit(0)).alias("n")).first().n
     tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 16))
     spread = lambda first, last: F.explode(F.sequence(first, last))
     left = packed.select("c", "p", spread(F.col("p"), F.col("g") - 1).alias("q"), F.col("ids").alias("xs")).repartition(tasks, "c", "p", "q")
     right = packed.select("c", F.col("p").alias("q"), spread(F.lit(0).cast("long"), F.col("p")).alias("p"), F.col("ids").alias("ys")).repartition(tasks, "c", "p", "q")
-    met = left.join(right, ["c", "p", "q"]).select("p", "q", F.explode("xs").alias("x"), "ys").select("p", "q", "x", F.explode("ys").alias("y"))
-    return met.filter("p < q or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    met = left.select("c", "p", "q", F.explode("xs").alias("a")).join(right.hint("merge"), ["c", "p", "q"])
+    return met.select("a", F.explode("ys").alias("b")).filter("a < b")
 
 
 def operators(lines: DataFrame, substations: DataFrame) -> DataFrame:

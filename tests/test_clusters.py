@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,3 +40,25 @@ def test_pairs_of_one_large_cluster_are_many_tasks_work(spark):
         found = [tuple(r) for r in graph.parallel_pairs(few, chunk=chunk).collect()]
         assert len(found) == len(set(found)) and set(found) == want
     assert graph.parallel_pairs(lines.filter("cluster_id is null")).count() == 0
+
+
+def test_pairs_are_made_a_chunk_at_a_time_and_in_order(spark):
+    lines = spark.range(500).select(F.col("id").alias("osm_id"), F.lit(1).alias("cluster_id"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan shows its generated stages only when it has run
+    try:
+        plan = graph.parallel_pairs(lines, chunk=50)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    stages = re.findall(r"\*\((\d+)\) (?:.* )?Generate explode\([xy]s", plan)
+    assert len(stages) == 2 and len(set(stages)) == 2, plan  # in one stage they would hold back the square of a chunk
+    firsts = [r.a for part in graph.parallel_pairs(lines, chunk=50).select("a").rdd.glom().collect() for r in part]
+    runs = sum(1 for _ in itertools.groupby(firsts))
+    assert len(firsts) == 500 * 499 // 2 and runs <= 500 * 10
+
+
+def test_pairs_of_repeated_and_text_ids(spark):
+    ids = [(x, c) for c in ("u", "v", None) for x in "b a c b b b d é a e f b".split()] + [(None, "u")]
+    lines = spark.createDataFrame(ids, "osm_id string, cluster_id string")
+    want = sorted((a, b) for (a, c), (b, d) in itertools.product(ids, ids) if a and b and c and c == d and a < b)
+    for chunk in (1, 3, 5, 2048):
+        assert sorted(tuple(r) for r in graph.parallel_pairs(lines, chunk=chunk).collect()) == want
